@@ -338,7 +338,7 @@ WITH {DAILY}, t AS (SELECT calendar, min(session) AS a, max(session) AS b FROM d
 o AS (SELECT s.calendar, s.session, lead(s.session) OVER (PARTITION BY s.calendar ORDER BY s.session) AS after FROM sessions s),
 p AS (SELECT o.*, row_number() OVER (PARTITION BY o.calendar ORDER BY o.session) - 1 - count(*) OVER (PARTITION BY o.calendar) % 3 AS pos FROM o JOIN t ON t.calendar = o.calendar AND o.session BETWEEN t.a AND t.b),
 g AS (SELECT *, floor(pos / 3) AS grp FROM p WHERE pos >= 0),
-s AS (SELECT calendar, grp, min(session) AS l, coalesce(max(after), max(session) + 1) AS r FROM g GROUP BY ALL)
+s AS (SELECT calendar, grp, min(session) AS l, CASE WHEN count(after) = count(*) THEN max(after) ELSE max(session) + 1 END AS r FROM g GROUP BY ALL)
 SELECT d.symbol, s.l AS bar_left, CAST(s.r AS DATE) AS bar_right, arg_min(open, d.session) FILTER (open IS NOT NULL) AS open, max(high) AS high, min(low) AS low,
   arg_max(close, d.session) FILTER (close IS NOT NULL) AS close, CASE WHEN count(close) > 0 THEN coalesce(sum(volume), 0) END AS volume
 FROM daily d JOIN g ON g.calendar = d.calendar AND g.session = d.session JOIN s ON s.calendar = g.calendar AND s.grp = g.grp GROUP BY d.symbol, s.calendar, s.grp, s.l, s.r""")
@@ -671,3 +671,52 @@ def interval_coverage(spark, d):
     rows = clean(spark, d).select("symbol", (micros_between("bar_left", "bar_right") / MINUTE).cast("bigint").alias("minutes")).distinct()
     n = F.broadcast(rows.agg(F.count_distinct("symbol").alias("n")))
     return rows.groupBy("minutes").agg(F.count(F.lit(1)).alias("symbols")).crossJoin(n).select("minutes", "symbols", (F.col("symbols") == F.col("n")).alias("complete"))
+
+
+@query("""
+WITH t AS (SELECT event_type AS symbol, ts, event_id, value, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS l FROM events)
+SELECT symbol, l AS bar_left, l + INTERVAL 1 HOUR AS bar_right, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume
+FROM t GROUP BY symbol, l""")
+def streaming_live_bars(spark, d):
+    """Hourly bars of the event stream, run to its end in update mode; the last version of each bar is kept."""
+    import tempfile
+    import uuid
+
+    from tradespan.streaming.live import live_bars, upsert_sink
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    at = f"{root}/live-{uuid.uuid4().hex}"
+    schema = table(spark, d, "events").schema
+    ticks = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1.0).alias("size"))
+    bars = live_bars(ticks, 60)
+    q = bars.writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").foreachBatch(upsert_sink(f"{at}/bars")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = max(p["batchId"] for p in q.recentProgress)
+    return spark.read.parquet(f"{at}/bars/v={last}")
+
+
+def catalog(spark: SparkSession, d: str, now: dt.datetime = dt.datetime(2024, 6, 28, 23)):
+    """Hourly and daily bars as one catalog."""
+    from tradespan.functions.interval import Interval
+    from tradespan.plans.builder import BarSource, PriceCatalog
+
+    left, right = dt.datetime(2023, 9, 1), dt.datetime(2024, 6, 29)
+    sources = [BarSource(Interval("H", 1), clean(spark, d), left, right), BarSource(Interval("D", 1), daily(spark, d), left, right)]
+    return PriceCatalog.create(sources, table(spark, d, "symbols"), sessions(spark, d), now)
+
+
+@query(f"""
+WITH {DAILY}, n AS (SELECT session FROM sessions WHERE calendar = (SELECT calendar FROM symbols GROUP BY calendar ORDER BY count(*) DESC, min(symbol) LIMIT 1) AND session <= DATE '{DAY}' ORDER BY session DESC LIMIT 20)
+SELECT symbol, session, open, high, low, close, volume FROM daily WHERE session BETWEEN (SELECT min(session) FROM n) AND (SELECT max(session) FROM n)""")
+def get_daily_20_sessions(spark, d):
+    return catalog(spark, d).get("1D", end=DAY, days=20)
+
+
+@query(None)
+def get_intraday_2h(spark, d):
+    return catalog(spark, d).get("2h", start=dt.date(2024, 3, 4), end=DAY)
+
+
+@query(None)
+def get_inferred(spark, d):
+    return catalog(spark, d).get(end=DAY, days=3)
