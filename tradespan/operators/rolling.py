@@ -99,8 +99,11 @@ def rolling_totals(
         head = rows[rows["n"].isna()].reset_index(drop=True)
         if head.empty:
             return
-        entity = rows["n"].isna().cumsum().to_numpy() - 1
-        body = rows["n"].notna().to_numpy()
+        opens = rows["n"].isna().to_numpy()
+        entity = opens.cumsum() - 1
+        # days of an entity also reach the tile behind its last one, which has no rows of its own
+        code, tile = pd.factorize(rows["key"], use_na_sentinel=False)[0], rows["tile"].to_numpy()
+        body = ~opens & (entity >= 0) & (code == code[opens][entity]) & (tile == tile[opens][entity])
         start = head["tile"].to_numpy() * tile_days
         at = (rows["n"].to_numpy(float)[body] - start[entity[body]]).astype(int) + halo
         cells = np.zeros((3, len(head), halo + tile_days))
