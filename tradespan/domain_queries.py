@@ -24,9 +24,9 @@ ORACLE_SQL: dict[str, str] = {}
 
 HOUR = 60 * MINUTE
 OUT = ("symbol", "bar_left", "bar_right", *B.FIELDS)
-AT = dt.datetime(2024, 3, 14, 15, 10)
-DAY = dt.date(2024, 3, 14)
-FROM, TO = dt.datetime(2024, 3, 4), dt.datetime(2024, 3, 18)
+AT = dt.datetime(2024, 6, 13, 15, 10)
+DAY = dt.date(2024, 6, 13)
+FROM, TO = dt.datetime(2024, 6, 3), dt.datetime(2024, 6, 17)
 
 OHLCV = """arg_min(open, bar_left) FILTER (open IS NOT NULL) AS open, max(high) AS high, min(low) AS low,
   arg_max(close, bar_left) FILTER (close IS NOT NULL) AS close, CASE WHEN count(close) > 0 THEN coalesce(sum(volume), 0) END AS volume"""
@@ -635,13 +635,13 @@ def price_range(spark, d):
 @query(f"""
 WITH {CLEAN}, z AS (SELECT * FROM clean WHERE symbol = 'ZORB-USD'), b AS (SELECT symbol, time_bucket(INTERVAL 4 HOUR, bar_left, TIMESTAMP '1970-01-01') AS l, close, bar_left FROM z),
 a AS (SELECT symbol, l AS bar_left, arg_max(close, bar_left) FILTER (close IS NOT NULL) AS close FROM b GROUP BY symbol, l HAVING count(close) > 0),
-late AS (SELECT symbol, bar_left, close FROM z WHERE bar_left >= TIMESTAMP '{FROM}' + INTERVAL 90 DAY),
+late AS (SELECT symbol, bar_left, close FROM z WHERE bar_left >= TIMESTAMP '{FROM}'),
 s AS (SELECT max(bar_left) AS m FROM a WHERE bar_left IN (SELECT bar_left FROM late))
 SELECT a.* FROM a, s WHERE bar_left < s.m UNION ALL SELECT late.* FROM late, s WHERE bar_left >= s.m""")
 def composite_splice(spark, d):
     zorb = clean(spark, d).where(F.col("symbol") == "ZORB-USD")
     first = R.resample_fixed(zorb, 4 * HOUR, dt.datetime(1970, 1, 1)).where(F.col("close").isNotNull()).select("symbol", "bar_left", "close")
-    late = zorb.where(F.col("bar_left") >= F.lit(FROM + dt.timedelta(days=90)).cast("timestamp_ntz")).select("symbol", "bar_left", "close")
+    late = zorb.where(F.col("bar_left") >= F.lit(FROM).cast("timestamp_ntz")).select("symbol", "bar_left", "close")
     return P.spliced(first, late)
 
 
@@ -700,8 +700,8 @@ def catalog(spark: SparkSession, d: str, now: dt.datetime = dt.datetime(2024, 6,
     from tradespan.functions.interval import Interval
     from tradespan.plans.builder import BarSource, PriceCatalog
 
-    left, right = dt.datetime(2023, 9, 1), dt.datetime(2024, 6, 29)
-    sources = [BarSource(Interval("H", 1), clean(spark, d), left, right), BarSource(Interval("D", 1), daily(spark, d), left, right)]
+    hourly = BarSource.measured("1h", clean(spark, d))
+    sources = [hourly, BarSource(Interval("D", 1), daily(spark, d), hourly.left, hourly.right)]
     return PriceCatalog.create(sources, table(spark, d, "symbols"), sessions(spark, d), now)
 
 
@@ -714,7 +714,7 @@ def get_daily_20_sessions(spark, d):
 
 @query(None)
 def get_intraday_2h(spark, d):
-    return catalog(spark, d).get("2h", start=dt.date(2024, 3, 4), end=DAY)
+    return catalog(spark, d).get("2h", start=FROM, end=DAY)
 
 
 @query(None)
