@@ -706,10 +706,10 @@ def catalog(spark: SparkSession, d: str, now: dt.datetime = dt.datetime(2024, 6,
 
 
 @query(f"""
-WITH {DAILY}, n AS (SELECT session FROM sessions WHERE calendar = (SELECT calendar FROM symbols GROUP BY calendar ORDER BY count(*) DESC, min(symbol) LIMIT 1) AND session <= DATE '{DAY}' ORDER BY session DESC LIMIT 20)
+WITH {DAILY}, n AS (SELECT session FROM sessions WHERE calendar = (SELECT calendar FROM symbols GROUP BY calendar ORDER BY count(*) DESC, min(symbol) LIMIT 1) AND session <= DATE '{DAY}' ORDER BY session DESC LIMIT 8)
 SELECT symbol, session, open, high, low, close, volume FROM daily WHERE session BETWEEN (SELECT min(session) FROM n) AND (SELECT max(session) FROM n)""")
-def get_daily_20_sessions(spark, d):
-    return catalog(spark, d).get("1D", end=DAY, days=20)
+def get_daily_8_sessions(spark, d):
+    return catalog(spark, d).get("1D", end=DAY, days=8)
 
 
 @query(None)
