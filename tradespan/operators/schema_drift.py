@@ -95,15 +95,23 @@ def file_columns(lines: DataFrame) -> DataFrame:
     names = names.select("file_id", "pos", F.when(nth > 1, F.concat(F.col("name"), F.lit("#"), nth.cast("string"))).otherwise(F.col("name")).alias("name"))
     data = rows.where(F.col("line_no") > 1).select("file_id", F.posexplode("cells").alias("pos", "cell")).where(F.col("cell") != "")
     has = lambda p: F.count(F.when(F.col("cell").rlike(p), 1))
-    slash_first = F.regexp_extract("cell", r"^([0-9]{1,2})/[0-9]{1,2}/[0-9]{4}$", 1).try_cast("int")
+    slash_first = F.substring_index("cell", "/", 1).try_cast("int")
+    # the outline of a cell, figures as 0, tells apart what can be a date before anything is parsed
+    data = data.withColumn("outline", F.translate("cell", "123456789", "000000000"))
+    slashed = F.col("outline").isin("00/00/0000", "0/0/0000", "00/0/0000", "0/00/0000")
+    day_like = (
+        F.when(F.col("outline").isin("0000-00-00", "0000-00-00 00:00:00", "0000-00-00T00:00:00", "0000-00-00 00:00"), F.substring("cell", 1, 10).try_cast("date").isNotNull())
+        .when(F.col("outline") == "00000000", calendar_day(F.col("cell"), F.lit(False)).isNotNull())
+        .otherwise(slashed)
+    )
     stats = data.groupBy("file_id", "pos").agg(
         F.count(F.lit(1)).alias("n"),
         has(r"^-?[0-9]+$").alias("bigint"),
         has(r"^-?([0-9]+(\.[0-9]*)?|\.[0-9]+)$").alias("double"),
-        has(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$").alias("date"),
-        has(r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$").alias("timestamp"),
-        F.coalesce(F.max(slash_first) > 12, F.lit(False)).alias("day_first"),
-        F.count(F.coalesce(calendar_day(F.col("cell"), F.lit(False)), calendar_day(F.col("cell"), F.lit(True)))).alias("days"),
+        F.count(F.when(F.col("outline") == "0000-00-00", 1)).alias("date"),
+        F.count(F.when(F.col("outline") == "0000-00-00 00:00:00", 1)).alias("timestamp"),
+        F.coalesce(F.max(F.when(slashed, slash_first)) > 12, F.lit(False)).alias("day_first"),
+        F.count(F.when(day_like, 1)).alias("days"),
     )
     n = F.coalesce("n", F.lit(0))
     return names.join(stats, ["file_id", "pos"], "left").select(
