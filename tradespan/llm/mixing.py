@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradespan.llm.tokens import DEFAULT_VOCABULARY, TokenCounter
-from tradespan.session import broadcast_if_small, checkpointed
+from tradespan.session import checkpointed
 
 BUCKETS = 4096
 MAX_SOURCES = 100_000
@@ -54,14 +54,18 @@ def mix(counted: DataFrame, targets: DataFrame, seed: int = 7, budget: int | Non
     told apart by doc_id; repeated doc_ids count as documents of their own.
     The same input and seed give the same mixture.
     """
-    aims = broadcast_if_small(_targets(targets), MAX_SOURCES)
+    # tables of one row per target source are broadcast if there are few of them
+    aims = _targets(targets)
+    few = aims.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES
+    small = F.broadcast if few else (lambda df: df)
+    aims = small(aims)
     total = F.lit(budget) if budget is not None else None
     sums = counted.agg(F.sum("tokens").alias("all_tokens"))
     docs = counted.where((F.col("tokens") > 0) & (F.col("weight") > 0)).join(aims, "source")
     # one row per source: its budget and how weight turns into expected copies
     scale = docs.groupBy("source").agg(F.sum(F.col("weight") * F.col("tokens")).alias("weighted"), F.first("target_share").alias("share"))
     scale = scale.crossJoin(F.broadcast(sums)).select("source", (F.col("share") * (total if total is not None else F.col("all_tokens"))).alias("aim"), "weighted")
-    scale = broadcast_if_small(scale, MAX_SOURCES)
+    scale = small(scale)
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     expected = F.least(F.col("aim") * F.col("weight") / F.col("weighted"), F.col("max_repeats").cast("double"))
     docs = docs.join(scale, "source").withColumn("expected", expected).withColumn("certain", F.floor(F.col("expected") + 1e-12))
@@ -70,10 +74,10 @@ def mix(counted: DataFrame, targets: DataFrame, seed: int = 7, budget: int | Non
     docs = docs.withColumn("key", F.when(F.col("p") > 1e-12, q / (1 + q)))
     docs = docs.withColumn("b1", F.least(F.floor(F.col("key") * BUCKETS), F.lit(BUCKETS - 1)))
     docs = docs.withColumn("b2", F.least(F.floor((F.col("key") * BUCKETS - F.col("b1")) * BUCKETS), F.lit(BUCKETS - 1)))
-    docs = docs.select("doc_id", "source", "tokens", "certain", "expected", "key", "b1", "b2")
+    docs = checkpointed(docs.select("doc_id", "source", "tokens", "certain", "expected", "key", "b1", "b2"))
 
     lack = docs.groupBy("source").agg(F.sum((F.col("expected") - F.col("certain")) * F.col("tokens")).alias("lack"))
-    lack = broadcast_if_small(lack, MAX_SOURCES)
+    lack = small(lack)
 
     def threshold(rows: DataFrame, bucket: str, need: DataFrame) -> DataFrame:
         """(source, bucket, left): the bucket in which the source's need is met, and what is left of it there."""
@@ -81,7 +85,7 @@ def mix(counted: DataFrame, targets: DataFrame, seed: int = 7, budget: int | Non
         before = Window.partitionBy("source").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
         cut = sums.join(need, "source").withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
         hit = cut.where((F.col("before") < F.col("lack")) & (F.col("before") + F.col("tokens") >= F.col("lack")))
-        return broadcast_if_small(hit.select("source", F.col(bucket).alias(f"cut_{bucket}"), (F.col("lack") - F.col("before")).alias("lack")), MAX_SOURCES)
+        return small(hit.select("source", F.col(bucket).alias(f"cut_{bucket}"), (F.col("lack") - F.col("before")).alias("lack")))
 
     first = threshold(docs, "b1", lack)
     edge = docs.join(first.drop("lack"), "source").where(F.col("b1") == F.col("cut_b1"))
@@ -94,7 +98,7 @@ def mix(counted: DataFrame, targets: DataFrame, seed: int = 7, budget: int | Non
     # taken while it brings the sum nearer to the need
     taken = last.where(F.col("upto") - F.col("tokens") / 2 <= F.col("lack")).groupBy("source").agg(F.max(F.struct("key", "doc_id")).alias("last_taken"))
     bound = first.drop("lack").join(second.drop("lack"), "source", "left").join(taken, "source", "left")
-    bound = broadcast_if_small(bound, MAX_SOURCES)
+    bound = small(bound)
     below = (F.col("b1") < F.col("cut_b1")) | ((F.col("b1") == F.col("cut_b1")) & (F.col("b2") < F.col("cut_b2")))
     at_edge = (F.col("b1") == F.col("cut_b1")) & (F.col("b2") == F.col("cut_b2")) & (F.struct("key", "doc_id") <= F.col("last_taken"))
     extra = F.when(F.col("key").isNotNull() & (below | at_edge), 1).otherwise(0)
