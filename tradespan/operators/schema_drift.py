@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tradespan.operators.lagging import with_previous
 from tradespan.operators.schema_edit import Field, edit_script
+from tradespan.session import checkpointed
 
 #: Names under which vendors give the canonical fields.
 ROLES: Mapping[str, tuple[str, ...]] = {
@@ -133,7 +134,7 @@ def _schemas(columns: DataFrame) -> DataFrame:
     )
 
 
-def compare_files(files: DataFrame, lines: DataFrame, least_agreement: float = 0.9) -> DataFrame:
+def compare_files(files: DataFrame, lines: DataFrame, least_agreement: float = 0.9, columns: DataFrame | None = None) -> DataFrame:
     """Edits of each file against the file before it in its feed (vendor, symbol).
 
     Columns: file_id, previous_id, change, field, old_field, old_type, new_type.
@@ -141,13 +142,15 @@ def compare_files(files: DataFrame, lines: DataFrame, least_agreement: float = 0
     added, removed, renamed, retyped and reordered. A rename needs equal
     figures on at least ``least_agreement`` of the days that both files hold.
     A file without lines has no columns; files without feed or id, and lines
-    of unknown files, are left out; empty tables give no rows.
+    of unknown files, are left out; empty tables give no rows. ``columns`` may
+    give ``file_columns`` where it is at hand; else it is written once, as
+    both files of each pair need it.
     """
     feed = files.select("file_id", "vendor", "symbol", "received_at").where(F.col("file_id").isNotNull()).dropDuplicates(["file_id"])
     pairs = with_previous(feed, ["vendor", "symbol"], ["received_at", "file_id"], "received_at", "file_id", "previous_id")
     pairs = pairs.where(F.col("previous_id").isNotNull()).select("file_id", "previous_id")
     lines = lines.select("file_id", "line_no", "line")
-    schemas = _schemas(file_columns(lines))
+    schemas = _schemas(checkpointed(file_columns(lines)) if columns is None else columns)
     before = schemas.select(F.col("file_id").alias("previous_id"), F.col("columns").alias("old"), F.col("date").alias("old_date"))
     both = pairs.join(schemas.withColumnRenamed("columns", "new").withColumnRenamed("date", "new_date"), "file_id").join(before, "previous_id")
     names = lambda c: F.transform(c, lambda x: x["name"])
@@ -217,7 +220,7 @@ def schema_changes(files: DataFrame, lines: DataFrame) -> DataFrame:
     return compare_files(files, lines).where(F.col("change") != "reordered").select("file_id", "field", "change")
 
 
-def field_roles(files: DataFrame, lines: DataFrame, edits: DataFrame, roles: Mapping[str, tuple[str, ...]] = ROLES) -> DataFrame:
+def field_roles(files: DataFrame, columns: DataFrame, edits: DataFrame, roles: Mapping[str, tuple[str, ...]] = ROLES) -> DataFrame:
     """(vendor, symbol, name, role): the canonical field behind each name of a feed.
 
     A name known to ``roles`` has its role; another inherits it over the
@@ -225,7 +228,7 @@ def field_roles(files: DataFrame, lines: DataFrame, edits: DataFrame, roles: Map
     """
     known = {name: role for role, names in roles.items() for name in names}
     feed = files.select("file_id", "vendor", "symbol").where(F.col("file_id").isNotNull()).dropDuplicates(["file_id"])
-    names = file_columns(lines).join(feed, "file_id").select("vendor", "symbol", "name", F.lit(None).cast("string").alias("other")).distinct()
+    names = columns.join(feed, "file_id").select("vendor", "symbol", "name", F.lit(None).cast("string").alias("other")).distinct()
     renames = edits.where(F.col("change") == "renamed").join(feed, "file_id").select("vendor", "symbol", F.col("field").alias("name"), F.col("old_field").alias("other")).distinct()
 
     def resolve(part: pd.DataFrame) -> pd.DataFrame:
@@ -257,8 +260,9 @@ def consistent_table(files: DataFrame, lines: DataFrame, roles: Mapping[str, tup
     """
     feed = files.select("file_id", "vendor", "symbol", "received_at").where(F.col("file_id").isNotNull()).dropDuplicates(["file_id"])
     lines = lines.select("file_id", "line_no", "line")
-    role = field_roles(files, lines, compare_files(files, lines), roles)
-    columns = file_columns(lines).join(feed.select("file_id", "vendor", "symbol"), "file_id")
+    columns = checkpointed(file_columns(lines))
+    role = field_roles(files, columns, compare_files(files, lines, columns=columns), roles)
+    columns = columns.join(feed.select("file_id", "vendor", "symbol"), "file_id")
     same = columns["vendor"].eqNullSafe(role["vendor"]) & columns["symbol"].eqNullSafe(role["symbol"]) & (columns["name"] == role["name"])
     placed = columns.join(role, same).select("file_id", "role", "pos", "day_first")
     # the compiled projection of a file: position of each canonical field
