@@ -1,4 +1,4 @@
-"""Session helpers: table access, lineage cuts, broadcast guards."""
+"""Session helpers: table access and lineage cuts."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +29,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
             shared = os.path.join(tempfile.gettempdir(), "tradespan-checkpoints")
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only after a bounded count proved the side small."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
