@@ -81,6 +81,27 @@ read_slots AS (
 spans AS (SELECT symbol, min(session) AS f, max(session) AS t FROM read_slots WHERE close IS NOT NULL GROUP BY symbol)
 """
 
+_JUDGED = r"""
+WITH heads AS (SELECT file_name, min(line) AS header FROM bar_lines WHERE line_no = 1 GROUP BY file_name),
+rows AS (
+  SELECT b.line_id, b.line, h.header,
+    regexp_full_match(b.line, '("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*))*') AS quoted_well,
+    regexp_extract_all(b.line || ',', '("([^"]|"")*"|[^",]*),', 1) AS raw,
+    len(string_split(h.header, ',')) AS width
+  FROM bar_lines b JOIN heads h USING (file_name) WHERE b.line_no <> 1
+),
+cells AS (
+  SELECT *, list_transform(raw, lambda x: trim(CASE WHEN x LIKE '"%' THEN replace(x[2:-2], '""', '"') ELSE x END, ' ' || chr(9))) AS c FROM rows
+),
+judged AS (
+  SELECT *,
+    regexp_full_match(c[1], '\d{4}-\d\d-\d\d[T ]([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?(Z|[+-]([01]\d|2[0-3])(:?[0-5]\d)?)?')
+      AND try_cast(c[1][1:10] AS DATE) IS NOT NULL AND c[1][1:4] <> '0000' AS dated,
+    len(list_filter(c[2:], lambda x: NOT regexp_full_match(x, '([+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?)?'))) = 0 AS numbers
+  FROM cells
+)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "p2_rolling_totals": """
 WITH once AS (
@@ -137,26 +158,14 @@ SELECT g.symbol, g.slot_start, g.slot_end, coalesce(n.readings, 0) AS readings,
   coalesce(n.readings, 0) = 0 AS missing
 FROM grid g LEFT JOIN own n USING (symbol, slot_start) LEFT JOIN covered c USING (symbol, slot_start)
 """,
-    "p5_found": r"""
-WITH heads AS (SELECT file_name, min(line) AS header FROM bar_lines WHERE line_no = 1 GROUP BY file_name),
-rows AS (
-  SELECT b.line_id, b.line, h.header,
-    regexp_full_match(b.line, '("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*))*') AS quoted_well,
-    regexp_extract_all(b.line || ',', '("([^"]|"")*"|[^",]*),', 1) AS raw,
-    len(string_split(h.header, ',')) AS width
-  FROM bar_lines b JOIN heads h USING (file_name) WHERE b.line_no <> 1
-),
-cells AS (
-  SELECT *, list_transform(raw, lambda x: trim(CASE WHEN x LIKE '"%' THEN replace(x[2:-2], '""', '"') ELSE x END, ' ' || chr(9))) AS c FROM rows
-),
-judged AS (
-  SELECT *,
-    regexp_full_match(c[1], '\d{4}-\d\d-\d\d[T ]([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?(Z|[+-]([01]\d|2[0-3])(:?[0-5]\d)?)?')
-      AND try_cast(c[1][1:10] AS DATE) IS NOT NULL AND c[1][1:4] <> '0000' AS dated,
-    len(list_filter(c[2:], lambda x: NOT regexp_full_match(x, '([+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?)?'))) = 0 AS numbers
-  FROM cells
-)
-SELECT line_id, CASE WHEN NOT quoted_well THEN 'quoting' WHEN len(raw) <> width THEN 'columns' ELSE 'value' END AS reason
+    "p5_found": _JUDGED
+    + """SELECT line_id, CASE WHEN NOT quoted_well THEN 'quoting' WHEN len(raw) <> width THEN 'columns' ELSE 'value' END AS reason
 FROM judged WHERE NOT quoted_well OR len(raw) <> width OR NOT dated OR NOT numbers
+""",
+    "p5_valid": _JUDGED
+    + r"""
+SELECT line_id, CAST(CASE WHEN regexp_matches(c[1], 'Z$|:\d\d(\.\d+)?[+-]\d\d(:?\d\d)?$') THEN c[1] ELSE c[1] || 'Z' END AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS date, CAST(nullif(c[2], '') AS DOUBLE) AS open, CAST(nullif(c[3], '') AS DOUBLE) AS high,
+  CAST(nullif(c[4], '') AS DOUBLE) AS low, CAST(nullif(c[5], '') AS DOUBLE) AS close, CAST(nullif(c[6], '') AS DOUBLE) AS volume
+FROM judged WHERE quoted_well AND len(raw) = width AND dated AND numbers
 """,
 }
