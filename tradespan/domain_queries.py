@@ -399,6 +399,15 @@ def unaligned_rows_antijoin(spark, d):
     return T.unaligned(clean(spark, d), C.trading_index(sessions(spark, d), HOUR)).select("symbol", "bar_left")
 
 
+@query(f"""
+WITH {CLEAN}, {PARTS}, {INDEX},
+e AS (SELECT *, least(bar_right, lead(bar_left) OVER (PARTITION BY calendar ORDER BY bar_left)) AS till FROM idx),
+m AS (SELECT c.calendar, c.bar_left AS l, c.bar_right AS r, e.bar_left AS il, e.bar_right AS ir FROM clean c LEFT JOIN e ON e.calendar = c.calendar AND c.bar_left >= e.bar_left AND c.bar_left < e.till)
+SELECT calendar, count(*) AS bars, count(*) FILTER ((l > il OR r < ir) AND r <= ir) AS finer, count(*) FILTER (il IS NULL) AS outside, count(*) FILTER (r > ir) AS crossing FROM m GROUP BY calendar""")
+def reindex_compatibility(spark, d):
+    return T.index_compatibility(clean(spark, d), C.trading_index(sessions(spark, d), HOUR))
+
+
 def _filled(kind: str) -> str:
     before = "last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_left ROWS UNBOUNDED PRECEDING)"
     after = "first_value(open IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_left ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradespan.errors import MethodUnavailable
-from tradespan.functions.bars import FIELDS, PRICES, has_price
+from tradespan.functions.bars import FIELDS, PRICES, has_price, ohlcv
 from tradespan.functions.interval import symbols_to_list
 from tradespan.functions.times import MINUTE, micros_between
 from tradespan.operators.calendars import by_date
@@ -23,15 +23,46 @@ KINDS = ("daily", "intraday", "sessions", "composite")
 # reindexing
 
 
+def _placed(bars: DataFrame, index: DataFrame, how: str = "inner") -> DataFrame:
+    """Bars (with calendar) with the left and right side (_left, _right) of the bar of the index that they begin in.
+
+    Where bars of the index overlap, the later one counts. No window spans
+    more than a session's bars or a calendar's sessions.
+    """
+    first = index.groupBy("calendar", "session").agg(F.min("bar_left").alias("_first"))
+    first = first.withColumn("_after", F.lead("_first").over(Window.partitionBy("calendar").orderBy("_first"))).drop("_first")
+    following = F.coalesce(F.lead("bar_left").over(Window.partitionBy("calendar", "session").orderBy("bar_left")), F.col("_after"))
+    slots = index.join(first, ["calendar", "session"]).select(F.col("calendar").alias("_cal"), F.col("bar_left").alias("_left"), F.col("bar_right").alias("_right"), F.least("bar_right", following).alias("_end"))
+    hit = (F.col("calendar") == F.col("_cal")) & (F.to_date("bar_left") == F.col("_on")) & (F.col("bar_left") >= F.col("_left")) & (F.col("bar_left") < F.col("_end"))
+    return bars.join(by_date(slots, "_left", "_end"), hit, how).drop("_cal", "_on", "_end")
+
+
 def reindexed(bars: DataFrame, index: DataFrame, symbols: DataFrame) -> DataFrame:
     """A row for each symbol and bar of its calendar's index; bars that are missing have nulls.
 
-    ``index``: calendar, bar_left, bar_right (and more columns, kept); only the
-    stretch from a symbol's first to its last bar is given.
+    ``index``: calendar, session, bar_left, bar_right (and more columns,
+    kept); only the stretch from a symbol's first to its last bar is given.
+    Bars finer than the index are made one per bar of it; its volume is the
+    sum of theirs, null if none has any. A bar that reaches past the bar of
+    the index it begins in raises when the plan runs; ``index_compatibility``
+    counts these and the bars outside of the index beforehand.
     """
-    spans = bars.groupBy("symbol").agg(F.min("bar_left").alias("_a"), F.max("bar_left").alias("_b"))
-    wanted = spans.join(symbols.select("symbol", "calendar"), "symbol").join(index, "calendar").where((F.col("bar_left") >= F.col("_a")) & (F.col("bar_left") <= F.col("_b"))).drop("_a", "_b")
-    return wanted.join(bars.select("symbol", "bar_left", *FIELDS), ["symbol", "bar_left"], "left")
+    own = bars.drop("calendar").join(symbols.select("symbol", "calendar"), "symbol")
+    conflict = F.raise_error(F.concat(F.lit("IndexConflict: bars of "), "symbol", F.lit(" reach past the bar of the index at "), F.col("_left").cast("string"))).cast("double")
+    made = _placed(own, index).groupBy("symbol", "calendar", "_left").agg(*ohlcv()[:4], F.sum("volume").alias("volume"), F.max(F.col("bar_right") > F.col("_right")).alias("_past"))
+    # told after the aggregate: a filter derived from the key could be evaluated before the join's condition
+    made = made.withColumns({c: F.when(F.col("_past"), conflict).otherwise(F.col(c)) for c in FIELDS}).drop("_past").withColumnRenamed("_left", "bar_left")
+    spans = made.groupBy("symbol", "calendar").agg(F.min("bar_left").alias("_a"), F.max("bar_left").alias("_b"))
+    wanted = spans.join(index, "calendar").where((F.col("bar_left") >= F.col("_a")) & (F.col("bar_left") <= F.col("_b"))).drop("_a", "_b")
+    return wanted.join(made.drop("calendar"), ["symbol", "bar_left"], "left")
+
+
+def index_compatibility(bars: DataFrame, index: DataFrame) -> DataFrame:
+    """(calendar, bars, finer, outside, crossing): bars (with calendar) of each calendar; those shorter than the bar of the index they begin in, those in none, and those that reach past it."""
+    n = lambda c: F.count(F.when(c, 1))
+    finer = (F.col("bar_left") > F.col("_left")) | (F.col("bar_right") < F.col("_right"))
+    crossing = F.col("bar_right") > F.col("_right")
+    return _placed(bars, index, "left").groupBy("calendar").agg(F.count(F.lit(1)).alias("bars"), n(finer & ~crossing).alias("finer"), n(F.col("_left").isNull()).alias("outside"), n(crossing).alias("crossing"))
 
 
 def unaligned(bars: DataFrame, index: DataFrame) -> DataFrame:
