@@ -3,10 +3,12 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tradespan.functions.bars import FIELDS
 from tradespan.operators import calendars as C
+from tradespan.operators import point as P
 from tradespan.operators import table as T
 
 T0 = dt.datetime(2024, 6, 12)
@@ -69,3 +71,25 @@ def test_compatibility_is_counted_and_a_crossing_bar_raises(spark, fine):
     assert (r.bars, r.finer, r.outside, r.crossing) == (2, 0, 1, 1)
     with pytest.raises(Exception, match="IndexConflict"):
         T.reindexed(odd, index, symbols).collect()
+
+
+def test_operators_reach_all_symbols(spark, data):
+    q = entry.queries()
+    symbols = {r.symbol for r in spark.read.parquet(f"{data}/symbols.parquet").collect()}
+    bars = q["dedupe_keep_last"](spark, data)
+    of = lambda name: {r.symbol for r in q[name](spark, data).select("symbol").distinct().collect()}
+    assert of("stacked_single_row_all") == of("composite_splice_all") == of("local_time_all") == symbols
+    assert q["local_time_all"](spark, data).count() == bars.count()
+    pivot = q["wide_pivot_close_all"](spark, data)
+    assert set(pivot.columns) == {"bar_left", "bar_right"} | symbols
+    held = pivot.select(*(F.count(F.col(f"`{s}`")).alias(f"n{i}") for i, s in enumerate(sorted(symbols)))).first()
+    assert list(held) == [bars.where((F.col("symbol") == s) & F.col("close").isNotNull()).count() for s in sorted(symbols)]
+
+
+def test_splice_by_symbol(spark):
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    made = lambda rows: spark.createDataFrame([(s, at(h), c) for s, h, c in rows], "symbol string, bar_left timestamp_ntz, close double")
+    first = made([("A", 0, 1.0), ("A", 4, 2.0), ("B", 0, 3.0), ("B", 8, 4.0), ("C", 0, 5.0)])
+    second = made([("A", 4, 6.0), ("A", 5, 7.0), ("B", 0, 8.0), ("B", 7, 9.0), ("C", 1, 10.0), ("D", 2, 11.0)])
+    got = {tuple(r) for r in P.spliced_by(first, second).collect()}
+    assert got == {("A", at(0), 1.0), ("A", at(4), 6.0), ("A", at(5), 7.0), ("B", at(0), 8.0), ("B", at(7), 9.0), ("C", at(0), 5.0), ("D", at(2), 11.0)}

@@ -553,6 +553,56 @@ def local_time(spark, d):
     return T.in_zone(rows, "America/New_York", ("local_left", "local_right"))
 
 
+@query(f"""
+WITH {CLEAN}, n AS (SELECT calendar, count(DISTINCT symbol) AS n FROM clean GROUP BY calendar),
+k AS (SELECT calendar, bar_left, count(*) AS have FROM clean WHERE open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL GROUP BY ALL),
+t AS (SELECT calendar, min(bar_left) AS a, max(bar_left) AS b FROM k JOIN n USING (calendar) WHERE have = n GROUP BY calendar)
+SELECT symbol, bar_left, bar_right, open, high, low, close, volume FROM clean JOIN t USING (calendar) WHERE bar_left BETWEEN a AND b""")
+def data_for_all_by_calendar(spark, d):
+    return T.data_for_all(clean(spark, d), by=["calendar"]).select(*OUT)
+
+
+def _symbols(spark: SparkSession, d: str) -> list[str]:
+    """All symbols: the columns of a wide table have to be known."""
+    return sorted(r.symbol for r in table(spark, d, "symbols").select("symbol").collect())
+
+
+@query(f"WITH {CLEAN} PIVOT clean ON symbol USING max(close) GROUP BY bar_left, bar_right")
+def wide_pivot_close_all(spark, d):
+    return T.wide(clean(spark, d), _symbols(spark, d))
+
+
+@query(f"""
+WITH {CLEAN}, r AS (SELECT symbol, {OHLCV} FROM clean WHERE bar_left >= TIMESTAMP '{FROM}' AND bar_right <= TIMESTAMP '{TO}' GROUP BY symbol)
+SELECT symbol, open, high, low, close, volume FROM symbols LEFT JOIN r USING (symbol)""")
+def stacked_single_row_all(spark, d):
+    names = _symbols(spark, d)
+    return T.stacked(T.wide(P.price_range(clean(spark, d), FROM, TO), names, B.FIELDS, ()), names)
+
+
+@query(f"WITH {CLEAN} SELECT c.symbol, bar_left, timezone(y.tz, timezone('UTC', bar_left)) AS local_left, timezone(y.tz, timezone('UTC', bar_right)) AS local_right FROM clean c JOIN symbols y USING (symbol)")
+def local_time_all(spark, d):
+    rows = clean(spark, d).join(table(spark, d, "symbols").select("symbol", "tz"), "symbol")
+    rows = rows.select("symbol", "tz", "bar_left", F.col("bar_left").alias("local_left"), F.col("bar_right").alias("local_right"))
+    return T.in_zone(rows, F.col("tz"), ("local_left", "local_right")).drop("tz")
+
+
+@query(f"""
+WITH {CLEAN}, {PARTS},
+a AS (
+  SELECT c.symbol, p.o + INTERVAL 4 HOUR * CAST(floor(date_diff('second', p.o, c.bar_left) / 14400) AS INTEGER) AS bar_left, arg_max(close, c.bar_left) FILTER (close IS NOT NULL) AS close
+  FROM clean c JOIN parts p ON p.calendar = c.calendar AND c.bar_left >= p.o AND c.bar_left < p.c GROUP BY ALL HAVING count(close) > 0),
+late AS (SELECT symbol, bar_left, close FROM clean WHERE bar_left >= TIMESTAMP '{FROM}'),
+s AS (SELECT symbol, max(bar_left) AS m FROM a JOIN late USING (symbol, bar_left) GROUP BY symbol)
+SELECT a.symbol, a.bar_left, a.close FROM a LEFT JOIN s USING (symbol) WHERE m IS NULL OR a.bar_left < m
+UNION ALL SELECT l.symbol, l.bar_left, l.close FROM late l LEFT JOIN s USING (symbol) WHERE l.bar_left >= m OR l.symbol NOT IN (SELECT symbol FROM a)""")
+def composite_splice_all(spark, d):
+    """Each symbol's bars of 4 hours from its opens, so that calendars off the UTC grid have common starts, then its own bars."""
+    rows = clean(spark, d)
+    first = R.resample_open(rows, sessions(spark, d), 4 * HOUR).where(F.col("close").isNotNull()).select("symbol", "bar_left", "close")
+    return P.spliced_by(first, rows.where(F.col("bar_left") >= F.lit(FROM).cast("timestamp_ntz")).select("symbol", "bar_left", "close"))
+
+
 @query(f"WITH {CLEAN} SELECT symbol, bar_left, close FROM clean WHERE close IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_left DESC) = 1")
 def latest_bar(spark, d):
     rows = clean(spark, d).where(F.col("close").isNotNull())

@@ -79,6 +79,15 @@ def spliced(first: DataFrame, second: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def spliced_by(first: DataFrame, second: DataFrame, key: str = "symbol") -> DataFrame:
+    """As ``spliced`` for each ``key`` on its own. A key without a common start keeps its bars of ``first``, or of ``second`` if it has none there."""
+    split = first.select(key, "bar_left").join(second.select(key, "bar_left"), [key, "bar_left"], "left_semi").groupBy(key).agg(F.max("bar_left").alias("_split"))
+    held = first.select(key).distinct().withColumn("_held", F.lit(True))
+    a = first.join(split, key, "left").where(F.col("_split").isNull() | (F.col("bar_left") < F.col("_split")))
+    b = second.join(split, key, "left").join(held, key, "left").where((F.col("bar_left") >= F.col("_split")) | F.col("_held").isNull())
+    return a.drop("_split").unionByName(b.drop("_split", "_held"))
+
+
 def daily_then_intraday(daily: DataFrame, intraday: DataFrame, sessions: DataFrame, last_daily: dt.date) -> DataFrame:
     """Daily bars up to ``last_daily``, then intraday ones of later sessions, told apart by ``kind``."""
     own = by_date(sessions.select(F.col("calendar").alias("_cal"), "session", F.col("open").alias("_l"), F.col("close").alias("_r")), "_l", "_r")

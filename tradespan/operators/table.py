@@ -73,17 +73,20 @@ def unaligned(bars: DataFrame, index: DataFrame) -> DataFrame:
 # trims and subsets
 
 
-def _complete(df: DataFrame) -> DataFrame:
-    """Bars at which every symbol of the table has all prices."""
-    n = F.broadcast(df.agg(F.count_distinct("symbol").alias("_n")))
-    full = df.groupBy("bar_left").agg(F.count_distinct(F.when(has_price(), F.col("symbol"))).alias("_have"), F.max("bar_right").alias("bar_right"))
-    return full.crossJoin(n).where(F.col("_have") == F.col("_n"))
+def _complete(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Bars at which every symbol of the table (of its ``by``) has all prices."""
+    n = df.groupBy(*by).agg(F.count_distinct("symbol").alias("_n"))
+    full = df.groupBy(*by, "bar_left").agg(F.count_distinct(F.when(has_price(), F.col("symbol"))).alias("_have"), F.max("bar_right").alias("bar_right"))
+    return (full.join(n, list(by)) if by else full.crossJoin(F.broadcast(n))).where(F.col("_have") == F.col("_n"))
 
 
-def data_for_all(df: DataFrame, start: bool = True, end: bool = True) -> DataFrame:
-    """The table from (to) the first (last) bar at which all symbols have prices; empty if there is none. Volume doesn't count."""
-    bounds = F.broadcast(_complete(df).agg(F.min("bar_left").alias("_a"), F.max("bar_left").alias("_b")))
-    out = df.crossJoin(bounds)
+def data_for_all(df: DataFrame, start: bool = True, end: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    """The table from (to) the first (last) bar at which all symbols have prices; empty if there is none. Volume doesn't count.
+
+    With ``by`` (such as calendar) each of its tables is trimmed on its own.
+    """
+    bounds = _complete(df, by).groupBy(*by).agg(F.min("bar_left").alias("_a"), F.max("bar_left").alias("_b"))
+    out = df.join(bounds, list(by)) if by else df.crossJoin(F.broadcast(bounds))
     keep = F.col("_a").isNotNull()
     if start:
         keep &= F.col("bar_left") >= F.col("_a")
@@ -179,8 +182,8 @@ def describe(bars: DataFrame) -> DataFrame:
 
 def wide(df: DataFrame, symbols: Sequence[str], fields: Sequence[str] = ("close",), index: Sequence[str] = ("bar_left", "bar_right")) -> DataFrame:
     """One row per bar with columns <symbol>_<field> in the order given, or <symbol> for one field."""
-    aggs = [F.max(F.when(F.col("symbol") == s, F.col(f))).alias(s if len(fields) == 1 else f"{s}_{f}") for s in symbols for f in fields]
-    return df.where(F.col("symbol").isin(list(symbols))).groupBy(*index).agg(*aggs)
+    rows = df.where(F.col("symbol").isin(list(symbols))).groupBy(*index).pivot("symbol", list(symbols))
+    return rows.agg(*(F.max(f).alias(f) for f in fields))
 
 
 def stacked(df: DataFrame, symbols: Sequence[str], fields: Sequence[str] = FIELDS) -> DataFrame:
@@ -189,9 +192,10 @@ def stacked(df: DataFrame, symbols: Sequence[str], fields: Sequence[str] = FIELD
     return df.select(F.explode(F.array(*items)).alias("r")).select("r.*")
 
 
-def in_zone(df: DataFrame, tz: str, columns: Sequence[str] = ("bar_left", "bar_right")) -> DataFrame:
-    """Times of a UTC table as wall clock of ``tz``, for display."""
-    return df.withColumns({c: F.convert_timezone(F.lit("UTC"), F.lit(tz), F.col(c)) for c in columns})
+def in_zone(df: DataFrame, tz: str | Column, columns: Sequence[str] = ("bar_left", "bar_right")) -> DataFrame:
+    """Times of a UTC table as wall clock of ``tz``, one zone or a column of zones, for display."""
+    zone = F.lit(tz) if isinstance(tz, str) else tz
+    return df.withColumns({c: F.convert_timezone(F.lit("UTC"), zone, F.col(c)) for c in columns})
 
 
 def to_utc(df: DataFrame, tz: str, columns: Sequence[str] = ("bar_left", "bar_right")) -> DataFrame:
