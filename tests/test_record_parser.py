@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tradespan.sources.record_parser import failed_records, header_names, next_anchor, parse_line, valid_records
+from tradespan.sources.record_parser import failed_records, header_names, next_anchor, parse_line, recovered_records, resumed, valid_records
 
 NAMES = ["date", "open", "high", "low", "close", "volume"]
 GOOD = "2024-03-05 14:30:00,1.5,2,1,1.75,100"
@@ -101,3 +101,19 @@ def test_files_headers_and_odd_rows(spark):
     assert sorted((r.line_id, r.close) for r in valid_records(df).collect()) == [(2, 7.0), (4, 1.75), (6, 8.0), (6, 8.0)]
     assert failed_records(df.limit(0)).count() == 0
     assert header_names('﻿"Date", open ,"Vol.') == ["date", "open"]
+
+
+def test_parsing_resumes_within_a_damaged_line(spark):
+    rec = "2024-03-05 15:30:00,1,2,0.5,4,5"
+    for damaged in ('2024-03-05 14:30:00,"1,2,3,4,5', "2024-03-05 14:30:00,1,2,"):
+        (got,) = resumed(damaged + rec, NAMES)
+        assert got[0] == len(damaged) and [got[1][n] for n in NAMES[1:]] == [1, 2, 0.5, 4, 5]
+    quoted = ",".join(f'"{c}"' for c in rec.split(","))
+    assert [v["close"] for _, v in resumed("x," + quoted, NAMES)] == [4]
+    assert [v["close"] for _, v in resumed("x" + rec + rec, NAMES)] == [4, 4]
+    assert resumed(GOOD, NAMES) == [] and resumed("x" + rec[:-4], NAMES) == [] and resumed(None, NAMES) == []
+    rows = [(1, "a", 1, "date,open,high,low,close,volume"), (2, "a", 2, GOOD), (3, "a", 3, "2024-03-05 14:30:00,1,2," + rec)]
+    df = spark.createDataFrame(rows, "line_id bigint, file_name string, line_no int, line string")
+    (r,) = recovered_records(df).collect()
+    assert (r.line_id, r.at, r.date, r.high, r.volume) == (3, 24, dt.datetime(2024, 3, 5, 15, 30), 2.0, 5.0)
+    assert [x.line_id for x in failed_records(df).collect()] == [3] and [x.line_id for x in valid_records(df).collect()] == [2]

@@ -12,7 +12,7 @@ from tradespan.operators.rolling import rolling_totals
 from tradespan.operators.schema_drift import compare_files, consistent_table, schema_changes
 from tradespan.operators.spikes import implausible_values
 from tradespan.session import table
-from tradespan.sources.record_parser import failed_records, valid_records
+from tradespan.sources.record_parser import failed_records, recovered_records, valid_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,9 +58,13 @@ def p5_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valid_records(table(spark, sf_dir, "bar_lines")).drop("file_name", "line_no")
 
 
+def p5_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recovered_records(table(spark, sf_dir, "bar_lines"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p2_rolling_totals, p3_found, p3_grid, p4_found, p4_edit_scripts, p4_table, p5_found, p5_valid)
+    for f in (p1_found, p2_rolling_totals, p3_found, p3_grid, p4_found, p4_edit_scripts, p4_table, p5_found, p5_valid, p5_recovered)
 }
 
 _SLOTS = """

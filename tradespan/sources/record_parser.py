@@ -232,6 +232,34 @@ def parse_line(line: str | None, names: list[str]) -> tuple[dict[str, float | in
     return values, None
 
 
+def resumed(line: str | None, names: list[str]) -> list[tuple[int, dict[str, float | int | None]]]:
+    """(column, values) of the whole records that start behind the fault of a damaged line, each up to the next start or the line's end."""
+    _, fault = parse_line(line, names)
+    if fault is None:
+        return []
+    line, starts = (line or "").rstrip("\r\n"), []
+    at = next_anchor(line, fault.at if fault.reason == "quoting" else 0)
+    while at is not None:
+        starts.append(at - 1 if line[at - 1] == '"' else at)
+        at = next_anchor(line, at)
+    out = []
+    for begin, end in zip(starts, [*starts[1:], len(line)]):
+        values, wrong = parse_line(line[begin:end], names)
+        if wrong is None:
+            out.append((begin, values))
+    return out
+
+
+def _with_header(lines: DataFrame, default_header: str) -> DataFrame:
+    """Every line but the headers, with its file's header."""
+    lines = lines.select("line_id", "file_name", "line_no", "line")
+    heads = lines.where(F.col("line_no") == 1).groupBy(F.col("file_name").alias("_file")).agg(F.min(F.coalesce("line", F.lit(""))).alias("header"))
+    rows = lines.where((F.col("line_no") != 1) | F.col("line_no").isNull())
+    return rows.join(heads, F.col("file_name").eqNullSafe(F.col("_file")), "left").select(
+        "line_id", "file_name", "line_no", "line", F.coalesce("header", F.lit(default_header)).alias("header")
+    )
+
+
 def parse_records(lines: DataFrame, default_header: str = "date,open,high,low,close,volume") -> DataFrame:
     """Every line but the headers, typed or with the reason for failure.
 
@@ -245,12 +273,7 @@ def parse_records(lines: DataFrame, default_header: str = "date,open,high,low,cl
     file_name is a file of its own. Fields that a file lacks are null. Repeated
     rows are each given. Extra columns are ignored; an empty table gives no rows.
     """
-    lines = lines.select("line_id", "file_name", "line_no", "line")
-    heads = lines.where(F.col("line_no") == 1).groupBy(F.col("file_name").alias("_file")).agg(F.min(F.coalesce("line", F.lit(""))).alias("header"))
-    rows = lines.where((F.col("line_no") != 1) | F.col("line_no").isNull())
-    rows = rows.join(heads, F.col("file_name").eqNullSafe(F.col("_file")), "left").select(
-        "line_id", "file_name", "line_no", "line", F.coalesce("header", F.lit(default_header)).alias("header")
-    )
+    rows = _with_header(lines, default_header)
     schema = (
         "line_id bigint, file_name string, line_no int, date timestamp_ntz, "
         + ", ".join(f"{f} double" for f in FIELDS)
@@ -308,3 +331,29 @@ def failed_records(lines: DataFrame) -> DataFrame:
 def valid_records(lines: DataFrame) -> DataFrame:
     """Typed rows of the lines that can be read."""
     return parse_records(lines).where(F.col("reason").isNull()).drop("reason", "at", "detail", "resume_at")
+
+
+def recovered_records(lines: DataFrame, default_header: str = "date,open,high,low,close,volume") -> DataFrame:
+    """(line_id, at, typed fields): records that parsing resumes with within lines that fail; the lines stay failed.
+
+    ``at`` is the column at which the record starts.
+    """
+    schema = "line_id bigint, at int, date timestamp_ntz, " + ", ".join(f"{f} double" for f in FIELDS)
+    doubles = [pa.field(f, pa.float64()) for f in FIELDS]
+    arrow = pa.schema([pa.field("line_id", pa.int64()), pa.field("at", pa.int32()), pa.field("date", pa.timestamp("us")), *doubles])
+
+    def resume(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("line_id", "line", "header")]
+            found = [(i, at, v) for i, line, header in zip(*cols) for at, v in resumed(line, header_names(header))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([i for i, _, _ in found], pa.int64()),
+                    pa.array([at for _, at, _ in found], pa.int32()),
+                    pa.array([v.get("date") for _, _, v in found], pa.timestamp("us")),
+                    *(pa.array([v.get(f) for _, _, v in found], pa.float64()) for f in FIELDS),
+                ],
+                schema=arrow,
+            )
+
+    return _with_header(lines, default_header).mapInArrow(resume, schema)
