@@ -1,6 +1,6 @@
 import pytest
 
-from tradespan.llm.spampages import cue_shapes, cue_texts, page_shapes, spam_pages
+from tradespan.llm.spampages import PageRule, cue_shapes, cue_texts, page_shapes, spam_pages, spam_share
 
 
 def page(*cues):
@@ -40,3 +40,14 @@ def test_majority_decides(spark):
 def test_cues_of_all_styles():
     text = "WEBVTT\r\n\r\n1\r\n00:00:01.000 --> 00:00:02.000\r\na\r\nb\r\n\r\n#7\r00:00:03,000 -> 00:00:04,000\rc"
     assert [c.split() for c in cue_texts(text)] == [["a", "b"], ["c"]]
+
+
+def test_all_non_sentences_count_however_many_their_shapes(spark):
+    kinds = [("links", f"links:{i}") for i in range(100)] + [("sentence", "sentence:")] * 99
+    assert spam_share(kinds) == 100 / 199 and spam_share(kinds, 64) == 64 / 199
+    spam = list(SPAM.values())
+    df = spark.createDataFrame([(1, page(*spam, *TALK[:3]))], "doc_id bigint, text string")
+    one = PageRule(few=1)
+    assert spam_pages(df, one).count() == 1
+    r = page_shapes(df, one).first()
+    assert r.few_share < 0.5 < r.spam_share

@@ -38,7 +38,7 @@ NON_SENTENCE = ("keywords", "terms", "links", "tags", "offers")
 
 @dataclass(frozen=True)
 class PageRule:
-    """``share``: part of the cues that must be non-sentences, exceeded. ``few``: how many shapes may make it up.
+    """``share``: part of the cues that must be non-sentences, exceeded. ``few``: of how many shapes the share is reported besides.
     ``link_words``: most words beside a link. ``covered``: least part of a keyword run's words within repeated pairs."""
 
     share: float = 0.5
@@ -119,8 +119,8 @@ def cue_shapes(text: str, rule: PageRule = PageRule()) -> list[tuple[str, str]]:
     return out
 
 
-def spam_share(shapes: list[tuple[str, str]], few: int) -> float:
-    """Part of a page's cues that its ``few`` most frequent non-sentence shapes make up."""
+def spam_share(shapes: list[tuple[str, str]], few: int | None = None) -> float:
+    """Part of a page's cues that are non-sentences, or that its ``few`` most frequent non-sentence shapes make up."""
     if not shapes:
         return 0.0
     found = Counter(shape for kind, shape in shapes if kind in NON_SENTENCE)
@@ -128,12 +128,14 @@ def spam_share(shapes: list[tuple[str, str]], few: int) -> float:
 
 
 def page_shapes(documents: DataFrame, rule: PageRule = PageRule()) -> DataFrame:
-    """(doc_id, cues, spam_share, top_shape) of every page.
+    """(doc_id, cues, spam_share, few_share, top_shape) of every page.
 
-    A null or empty text, or one without cues, has no cues and share 0.
-    Repeated rows are each given; extra columns are ignored.
+    spam_share counts all non-sentences, few_share those of the page's
+    ``rule.few`` most frequent shapes. A null or empty text, or one without
+    cues, has no cues and shares 0. Repeated rows are each given; extra
+    columns are ignored.
     """
-    schema = "doc_id bigint, cues int, spam_share double, top_shape string"
+    schema = "doc_id bigint, cues int, spam_share double, few_share double, top_shape string"
 
     def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -141,8 +143,8 @@ def page_shapes(documents: DataFrame, rule: PageRule = PageRule()) -> DataFrame:
             for doc, text in zip(part["doc_id"], part["text"]):
                 shapes = cue_shapes(text, rule) if isinstance(text, str) else []
                 top = Counter(s for _, s in shapes).most_common(1)
-                out.append((doc, len(shapes), spam_share(shapes, rule.few), top[0][0] if top else None))
-            yield pd.DataFrame(out, columns=["doc_id", "cues", "spam_share", "top_shape"])
+                out.append((doc, len(shapes), spam_share(shapes), spam_share(shapes, rule.few), top[0][0] if top else None))
+            yield pd.DataFrame(out, columns=["doc_id", "cues", "spam_share", "few_share", "top_shape"])
 
     return documents.select("doc_id", "text").mapInPandas(judge, schema)
 
