@@ -106,3 +106,15 @@ def test_places_match_keys():
     keys, _, opens, closes, flat = word_keys([text.encode()])
     assert len(word_places(text)) == len(keys)
     assert [text[a:b] for a, b in word_places(text)][:3] == ["Hé", "it’s", "well"]
+
+
+def test_halves_are_joined_beside_other_runs_of_the_item(spark):
+    rng = random.Random(8)
+    item = rng.sample(WORDS, 20)
+    torn = item[:10] + [item[10][:3], item[10][3:]] + item[11:19]
+    # the item's words around the torn one, said elsewhere, stand between the halves by place in the item
+    other = item[5:15]
+    items = spark.createDataFrame([(1, "t", " ".join(item)), (2, "t", " ".join(speech(rng, 20)))], ITEM)
+    texts = [torn, torn + ["qqq"] + other, other + ["qqq"] + torn, item[:10] + ["qqq"] + item[11:19], other]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], DOC)
+    assert {(r.doc_id, r.item_id) for r in leaked_pairs(docs, items).collect()} == {(0, 1), (1, 1), (2, 1)}

@@ -134,19 +134,22 @@ def shard_matches(texts: list[bytes], items: Items, least_words: int) -> list[tu
             runs[d, n].append((a - diag, a, b))
     out = []
     for (d, n), found in runs.items():
-        found.sort()
         numbers = items.numbers[n]
         best: dict[int, tuple[int, int, int]] = {}
         joined: list[list[int]] = []
-        for p, a, b in found:
-            last = joined[-1] if joined else None
+        ends: dict[tuple[int, int], list[int]] = {}
+        # by place in the document, so that no other run of the item stands between the halves
+        for p, a, b in sorted(found, key=lambda r: (r[1], r[0])):
             # a word torn in two, or two run together, moves the alignment by one
-            if last and 1 <= p - last[1] <= 2 and 1 <= a - last[3] <= 2 and nearly(
-                b"".join(flat[opens[t] : closes[t]] for t in range(last[3], a)), b"".join(items.words[n][last[1] : p])
-            ):
+            near = ((q, e) for q in (p - 1, p - 2) for e in (a - 1, a - 2) if (q, e) in ends)
+            at = next((x for x in near if nearly(b"".join(flat[opens[t] : closes[t]] for t in range(x[1], a)), b"".join(items.words[n][x[0] : p]))), None)
+            if at is not None:
+                last = ends.pop(at)
                 last[1], last[3] = p + b - a, b
             else:
-                joined.append([p, p + b - a, a, b])
+                last = [p, p + b - a, a, b]
+                joined.append(last)
+            ends[last[1], last[3]] = last
         for p, q, a, b in joined:
             words = int(numbers[q - 1] - numbers[p] + 1)
             if words >= least_words:
