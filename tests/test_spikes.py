@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tradespan.operators.spikes import SpikeRule, implausible_in_sequence, implausible_values, phase_space_candidates, stuck_rows
+from tradespan.operators.spikes import MAD_TO_SIGMA, SpikeRule, axes_of, counted_cloud, departures, implausible_in_sequence, implausible_values, side_levels, stuck_rows
 from tradespan.operators.tiles import cut_days
 
 T0 = dt.datetime(2024, 1, 1)
@@ -98,10 +98,46 @@ def test_level_shift_at_the_end_is_none():
     assert found(implausible_in_sequence(df, SpikeRule())) == set()
 
 
-def test_candidates_contain_a_spike_in_noise():
-    x = np.random.default_rng(2).normal(0, 1, 500).cumsum() * 0.01
-    x[250] += 1
-    assert phase_space_candidates(x)[250]
+def test_ellipsoids_alone_contain_a_spike_in_noise():
+    df = walk(500, 2)
+    df.loc[250, "high"] *= 1.5
+    assert (250, "high") in found(implausible_in_sequence(df, SpikeRule(), check=False))
+
+
+def test_axes_are_medians_of_the_source():
+    df, _ = planted()
+    rule = SpikeRule()
+    got = axes_of(counted_cloud(df.assign(_core=True), rule), rule)["low"]
+    x = np.log(df["low"].to_numpy()[df["low"].to_numpy() > 0])
+    u = departures(x, *side_levels(x, rule.reach))
+    reach = rule.price_tails * np.sqrt(2 * np.log(len(x))) * MAD_TO_SIGMA
+    second = np.gradient(np.gradient(u))
+    for axis, z in ((got.departure, u), (got.first, np.gradient(u)), (got.second, second), (got.rest, second + u / 2)):
+        assert axis == pytest.approx(reach * np.median(np.abs(z[z != 0])), rel=0.02)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_a_source_whose_movement_changes_has_one_result_for_all_tiles(spark, seed):
+    calm, wild = walk(1500, seed), walk(1500, seed + 10)
+    for f in ("high", "low"):
+        wild[f] = 100 * (wild[f] / 100) ** 8
+    wild["row_id"] += 1500
+    wild["bar_left"] += dt.timedelta(hours=1500)
+    df = pd.concat([calm, wild], ignore_index=True)
+    df.loc[1000, "high"] *= 1.6
+    df.loc[2500:2503, "low"] /= 1.9
+    df.loc[2001, "volume"] *= 900
+    sdf = spark.createDataFrame(df, SCHEMA).repartition(3)
+    whole = found(implausible_in_sequence(df, SpikeRule()))
+    assert {(1000, "high"), (2500, "low"), (2503, "low"), (2001, "volume")} <= whole
+    for rows in (64, 700, 4096, 1_000_000):
+        assert found(implausible_values(sdf, rows_per_tile=rows).toPandas()) == whole
+
+
+def test_tiles_give_one_result_on_the_test_table(spark, data):
+    bars = spark.read.parquet(f"{data}/bars.parquet")
+    sizes = [found(implausible_values(bars, rows_per_tile=n).toPandas()) for n in (64, 4096, 1_000_000)]
+    assert sizes[0] == sizes[1] == sizes[2]
 
 
 @pytest.mark.parametrize("rows,halo", [(10, 3), (25, 12), (1000, 5)])

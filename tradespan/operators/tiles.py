@@ -39,29 +39,19 @@ def cut_days(n: np.ndarray, usable: np.ndarray, rows_per_tile: int, halo: int) -
     return np.concatenate(days), np.concatenate(tiles), np.concatenate(core)
 
 
-def with_tiles(
-    bars: DataFrame,
-    key: str,
-    ts: str,
-    usable: Column,
-    rows_per_tile: int = 16384,
-    halo: int = 48,
-) -> DataFrame:
-    """Rows of ``bars`` with ``_tile`` and ``_core``; halo rows are repeated.
+def day_tiles(bars: DataFrame, key: str, ts: str, usable: Column, rows_per_tile: int = 16384, halo: int = 48) -> DataFrame:
+    """(_key, _day, _tile, _core): the tiles that each day of a key takes part in.
 
     ``usable`` says which rows count towards a halo; bars that arrive more
     than once count once. Rows whose ``ts`` is null are left out. A null key
     is a key of its own.
     """
-    day = F.to_date(F.col(ts))
-    bars = bars.where(F.col(ts).isNotNull()).withColumn("_day", day)
-    per_day = bars.groupBy(F.col(key).alias("_key"), "_day").agg(
-        F.count(F.lit(1)).alias("n"), F.size(F.collect_set(F.when(usable, F.col(ts)))).alias("usable")
-    )
-    key_type = bars.schema[key].dataType
+    bars = bars.where(F.col(ts).isNotNull())
+    once = bars.groupBy(F.col(key).alias("_key"), F.col(ts).alias("_ts")).agg(F.count(F.lit(1)).alias("n"), F.bool_or(usable).alias("usable"))
+    per_day = once.groupBy("_key", F.to_date("_ts").alias("_day")).agg(F.sum("n").alias("n"), F.count(F.when(F.col("usable"), 1)).alias("usable"))
     out = T.StructType(
         [
-            T.StructField("_key", key_type),
+            T.StructField("_key", bars.schema[key].dataType),
             T.StructField("_day", T.DateType()),
             T.StructField("_tile", T.LongType()),
             T.StructField("_core", T.BooleanType()),
@@ -73,6 +63,10 @@ def with_tiles(
         at, tile, core = cut_days(days["n"].to_numpy(), days["usable"].to_numpy(), rows_per_tile, halo)
         return pd.DataFrame({"_key": days["_key"].to_numpy()[at], "_day": days["_day"].to_numpy()[at], "_tile": tile, "_core": core})
 
-    assigned = per_day.groupBy("_key").applyInPandas(cut, out)
-    joined = bars.join(assigned, F.col(key).eqNullSafe(F.col("_key")) & (bars["_day"] == assigned["_day"]))
-    return joined.drop("_key", assigned["_day"]).drop("_day")
+    return per_day.groupBy("_key").applyInPandas(cut, out)
+
+
+def in_tiles(bars: DataFrame, tiles: DataFrame, key: str, ts: str) -> DataFrame:
+    """Rows of ``bars`` with ``_tile`` and ``_core``; halo rows are repeated. Rows without ``ts`` are left out."""
+    hit = F.col(key).eqNullSafe(F.col("_key")) & (F.to_date(F.col(ts)) == F.col("_day"))
+    return bars.where(F.col(ts).isNotNull()).join(tiles, hit).drop("_key", "_day")

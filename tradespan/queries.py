@@ -21,6 +21,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return implausible_values(table(spark, sf_dir, "bars")).select("row_id", "field")
 
 
+def p1_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return implausible_values(table(spark, sf_dir, "bars")).where("reason = 'bound'").select("row_id", "field")
+
+
+def p1_stuck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return implausible_values(table(spark, sf_dir, "bars")).where("reason = 'stuck'").select("row_id", "field")
+
+
 def p2_rolling_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling_totals(table(spark, sf_dir, "bars"))
 
@@ -64,7 +72,7 @@ def p5_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p2_rolling_totals, p3_found, p3_grid, p4_found, p4_edit_scripts, p4_table, p5_found, p5_valid, p5_recovered)
+    for f in (p1_found, p1_bounds, p1_stuck, p2_rolling_totals, p3_found, p3_grid, p4_found, p4_edit_scripts, p4_table, p5_found, p5_valid, p5_recovered)
 }
 
 _SLOTS = """
@@ -106,7 +114,25 @@ judged AS (
 )
 """
 
+_BOUND = """
+bound AS (
+  SELECT row_id, 'high' AS field FROM bars WHERE high <= 0 OR high < low
+  UNION ALL SELECT row_id, 'low' FROM bars WHERE low <= 0 OR high < low
+  UNION ALL SELECT row_id, 'volume' FROM bars WHERE volume < 0
+)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "p1_bounds": f"WITH {_BOUND} SELECT * FROM bound",
+    "p1_stuck": f"""
+WITH {_BOUND},
+long AS (SELECT row_id, symbol, bar_left, 'high' AS field, high AS v FROM bars UNION ALL SELECT row_id, symbol, bar_left, 'low', low FROM bars UNION ALL SELECT row_id, symbol, bar_left, 'volume', volume FROM bars),
+held AS (SELECT *, dense_rank() OVER (PARTITION BY symbol, field ORDER BY bar_left) AS nth FROM long WHERE v IS NOT NULL AND bar_left IS NOT NULL),
+bar AS (SELECT DISTINCT symbol, field, v, nth FROM held),
+runs AS (SELECT *, nth - row_number() OVER (PARTITION BY symbol, field, v ORDER BY nth) AS run FROM bar),
+stuck AS (SELECT * FROM runs QUALIFY count(*) OVER (PARTITION BY symbol, field, v, run) >= 6)
+SELECT h.row_id, h.field FROM held h JOIN stuck s ON s.symbol IS NOT DISTINCT FROM h.symbol AND s.field = h.field AND s.v = h.v AND s.nth = h.nth ANTI JOIN bound b ON b.row_id = h.row_id AND b.field = h.field
+""",
     "p2_rolling_totals": """
 WITH once AS (
   SELECT symbol, bar_left, arg_max(coalesce(volume, 0), (ingested_at, row_id)) AS volume, arg_max(struct_pack(c := close), (ingested_at, row_id)).c AS close
