@@ -158,6 +158,44 @@ def session_next(spark, d):
     return C.with_session(_probes(spark, d), sessions(spark, d), "date", "next").select("reading_id", "session")
 
 
+_FAR = """far AS (
+  SELECT calendar, min(open) - INTERVAL 40 DAY AS date FROM sessions GROUP BY calendar UNION ALL SELECT calendar, max(close) + INTERVAL 40 DAY FROM sessions GROUP BY calendar
+  UNION ALL SELECT calendar, close FROM sessions UNION ALL SELECT calendar, break_start FROM sessions WHERE break_start IS NOT NULL
+)"""
+
+
+def _far(spark, d):
+    """Times 40 days before the first and behind the last session, all closes and all starts of breaks."""
+    own = sessions(spark, d)
+    ends = own.groupBy("calendar").agg((F.min("open") - F.expr("INTERVAL 40 DAYS")).alias("a"), (F.max("close") + F.expr("INTERVAL 40 DAYS")).alias("b"))
+    ends = ends.select("calendar", F.explode(F.array("a", "b")).alias("date"))
+    return ends.unionByName(own.select("calendar", F.explode(F.array_compact(F.array("close", "break_start"))).alias("date")))
+
+
+@query(f"""
+WITH {_FAR} SELECT f.calendar, f.date, (SELECT max(s.session) FROM sessions s WHERE s.calendar = f.calendar AND s.open <= f.date) AS session FROM far f""")
+def session_previous_far(spark, d):
+    return C.with_session(_far(spark, d), sessions(spark, d), "date", "previous")
+
+
+@query(f"""
+WITH {_FAR} SELECT f.calendar, f.date, (SELECT min(s.session) FROM sessions s WHERE s.calendar = f.calendar AND s.close > f.date) AS session FROM far f""")
+def session_next_far(spark, d):
+    return C.with_session(_far(spark, d), sessions(spark, d), "date", "next")
+
+
+@query(f"""
+WITH {PARTS}, {_FAR} SELECT f.calendar, f.date, (SELECT min(greatest(p.o, f.date)) FROM parts p WHERE p.calendar = f.calendar AND p.c > f.date) AS trading_minute FROM far f""")
+def next_trading_minute_far(spark, d):
+    return C.to_trading_minute(_far(spark, d), sessions(spark, d), "date")
+
+
+@query(f"""
+WITH {PARTS}, {_FAR} SELECT f.calendar, f.date, (SELECT max(least(p.c - INTERVAL 1 MINUTE, f.date)) FROM parts p WHERE p.calendar = f.calendar AND p.o <= f.date) AS trading_minute FROM far f""")
+def previous_trading_minute_far(spark, d):
+    return C.to_trading_minute(_far(spark, d), sessions(spark, d), "date", "previous")
+
+
 @query(f"""
 WITH {PARTS}
 SELECT r.reading_id, EXISTS (SELECT 1 FROM parts p WHERE p.calendar = y.calendar AND r.date >= p.o AND r.date < p.c) AS is_open FROM readings r JOIN symbols y USING (symbol)""")
@@ -291,7 +329,7 @@ def resample_open_2h(spark, d):
 WITH {CLEAN}, s AS (SELECT session, open AS o, lead(open) OVER (ORDER BY session) AS nx, close FROM sessions WHERE calendar = 'LON'),
 placed AS (
   SELECT c.*, s.session, s.nx, s.o + INTERVAL 3 HOUR * CAST(floor(date_diff('second', s.o, c.bar_left) / 10800) AS INTEGER) AS l
-  FROM clean c JOIN s ON c.bar_left >= s.o AND c.bar_left < coalesce(s.nx, s.close + INTERVAL 15 DAY))
+  FROM clean c JOIN s ON c.bar_left >= s.o AND (s.nx IS NULL OR c.bar_left < s.nx))
 SELECT symbol, session, l AS bar_left, least(l + INTERVAL 3 HOUR, nx) AS bar_right, {OHLCV} FROM placed GROUP BY symbol, session, l, nx""")
 def resample_open_lead_3h(spark, d):
     return R.resample_open_of(clean(spark, d), sessions(spark, d), "LON", 3 * HOUR)

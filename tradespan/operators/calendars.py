@@ -203,21 +203,36 @@ def by_date(parts: DataFrame, left: str, right: str) -> DataFrame:
     return parts.withColumn("_on", F.explode(F.sequence(F.to_date(left), F.to_date(plus_micros(right, F.lit(-1))))))
 
 
+def reaching(spans: DataFrame, df: DataFrame, ts: str, left: str | None = None, right: str | None = None) -> DataFrame:
+    """``spans`` whose first begins no later, and last ends no earlier, than the times ``ts`` of ``df``: null ``left`` or ``right`` are open ends.
+
+    The limits are one row; it is the only one that is broadcast.
+    """
+    limits = df.agg(F.min(ts).alias("_first"), plus_micros(F.max(ts), F.lit(1)).alias("_last"))
+    spans = spans.crossJoin(F.broadcast(limits))
+    if left is not None:
+        spans = spans.withColumn(left, F.coalesce(left, F.least(right, "_first")))
+    else:
+        spans = spans.withColumn(right, F.coalesce(right, "_last"))
+    return spans.drop("_first", "_last")
+
+
 def with_session(df: DataFrame, sessions: DataFrame, ts: str = "bar_left", direction: str | None = None, calendar: str = "calendar") -> DataFrame:
     """``df`` with the session that ``ts`` falls in (breaks are within).
 
-    Outside sessions: null, or the ``previous`` or ``next`` session. Spans from
-    a session's open to the next one's stand in for an as-of join.
+    Outside sessions: null, or the ``previous`` or ``next`` session, however
+    far off. Spans from a session's open to the next one's stand in for an
+    as-of join.
     """
     spans = neighbours(sessions)
     if direction is None:
         spans = spans.select(F.col("calendar").alias("_cal"), "session", F.col("open").alias("_l"), F.col("close").alias("_r"))
     elif direction == "previous":
-        end = F.coalesce("next_open", F.col("close") + F.expr("INTERVAL 15 DAYS"))
-        spans = spans.select(F.col("calendar").alias("_cal"), "session", F.col("open").alias("_l"), end.alias("_r"))
+        spans = spans.select(F.col("calendar").alias("_cal"), "session", F.col("open").alias("_l"), F.col("next_open").alias("_r"))
+        spans = reaching(spans, df, ts, right="_r")
     elif direction == "next":
-        start = F.coalesce("previous_close", F.col("open") - F.expr("INTERVAL 15 DAYS"))
-        spans = spans.select(F.col("calendar").alias("_cal"), "session", start.alias("_l"), F.col("close").alias("_r"))
+        spans = spans.select(F.col("calendar").alias("_cal"), "session", F.col("previous_close").alias("_l"), F.col("close").alias("_r"))
+        spans = reaching(spans, df, ts, left="_l", right="_r")
     else:
         raise ValueError(direction)
     spans = by_date(spans.where(F.col("_l") < F.col("_r")), "_l", "_r")
@@ -234,21 +249,21 @@ def is_open(df: DataFrame, sessions: DataFrame, ts: str, ignore_breaks: bool = F
 
 
 def to_trading_minute(df: DataFrame, sessions: DataFrame, ts: str, direction: str = "next", calendar: str = "calendar") -> DataFrame:
-    """``df`` with trading_minute: ``ts`` itself where its calendar trades, else the next open or the last minute before the previous close."""
+    """``df`` with trading_minute: ``ts`` itself where its calendar trades, else the next open or the last minute before the previous close; null where there is none."""
     parts = session_parts(sessions)
     w = Window.partitionBy("calendar").orderBy("part_open")
     parts = parts.withColumn("_next", F.lead("part_open").over(w))
     if direction == "next":
-        edge = F.coalesce(F.lag("part_close").over(w), F.col("part_open") - F.expr("INTERVAL 15 DAYS"))
-        spans = parts.select(F.col("calendar").alias("_cal"), edge.alias("_l"), F.col("part_close").alias("_r"), "part_open", "part_close")
+        spans = parts.select(F.col("calendar").alias("_cal"), F.lag("part_close").over(w).alias("_l"), F.col("part_close").alias("_r"), "part_open", "part_close")
+        spans = reaching(spans, df, ts, left="_l", right="_r")
         answer = F.greatest(F.col(ts), F.col("part_open"))
     else:
-        end = F.coalesce("_next", F.col("part_close") + F.expr("INTERVAL 15 DAYS"))
-        spans = parts.select(F.col("calendar").alias("_cal"), F.col("part_open").alias("_l"), end.alias("_r"), "part_open", "part_close")
+        spans = parts.select(F.col("calendar").alias("_cal"), F.col("part_open").alias("_l"), F.col("_next").alias("_r"), "part_open", "part_close")
+        spans = reaching(spans, df, ts, right="_r")
         answer = F.least(F.col(ts), F.col("part_close") - F.expr("INTERVAL 1 MINUTE"))
     spans = by_date(spans.where(F.col("_l") < F.col("_r")), "_l", "_r")
     hit = (F.col(calendar) == F.col("_cal")) & (F.to_date(ts) == F.col("_on")) & (F.col(ts) >= F.col("_l")) & (F.col(ts) < F.col("_r"))
-    return df.join(spans, hit, "left").withColumn("trading_minute", answer).drop("_cal", "_on", "_l", "_r", "part_open", "part_close")
+    return df.join(spans, hit, "left").withColumn("trading_minute", F.when(F.col("part_open").isNotNull(), answer)).drop("_cal", "_on", "_l", "_r", "part_open", "part_close")
 
 
 def minutes_in_period(sessions: DataFrame, start: Column, end: Column) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tradespan.functions.bars import ohlcv
 from tradespan.functions.interval import Interval
 from tradespan.functions.times import micros_between, plus_micros
-from tradespan.operators.calendars import by_date, neighbours, without_breaks
+from tradespan.operators.calendars import by_date, neighbours, reaching, without_breaks
 from tradespan.operators.regular_grid import session_parts
 
 
@@ -43,8 +43,8 @@ def resample_open_of(bars: DataFrame, sessions: DataFrame, lead: str, step: int,
     ``curtail_end`` drops a last bar that the data do not fill.
     """
     own = neighbours(sessions.where(F.col("calendar") == lead))
-    end = F.coalesce("next_open", F.col("close") + F.expr("INTERVAL 15 DAYS"))
-    spans = by_date(own.select("session", F.col("open").alias("_o"), end.alias("_e"), "next_open"), "_o", "_e")
+    spans = reaching(own.select("session", F.col("open").alias("_o"), F.col("next_open").alias("_e"), "next_open"), bars, "bar_left", right="_e")
+    spans = by_date(spans.where(F.col("_o") < F.col("_e")), "_o", "_e")
     rows = bars.join(spans, (F.to_date("bar_left") == F.col("_on")) & (F.col("bar_left") >= F.col("_o")) & (F.col("bar_left") < F.col("_e"))).drop("_on")
     left = plus_micros("_o", F.floor(micros_between("_o", "bar_left") / step) * step)
     rows = rows.withColumn("_left", left).withColumn("_right", F.least(plus_micros("_left", F.lit(step)), F.col("next_open")))
