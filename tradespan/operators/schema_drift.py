@@ -8,6 +8,7 @@ edit script is made. Scripts are then compiled into one projection per file.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,25 +34,29 @@ NUMBER = r"^(?:[A-Za-z]{3}\s+)?[$€£]?([+-]?[0-9][0-9,]*+(?:\.[0-9]*)?|[+-]?\.
 
 def cells(line: Column) -> Column:
     """Cells of a delimited line without quotes and outer blanks; doubled quotes made single."""
-    raw = F.regexp_extract_all(F.regexp_replace(line, "^﻿", ""), F.lit(CELLS), F.lit(1))
+    line = F.regexp_replace(line, "^\ufeff", "")
 
     def bare(c: Column) -> Column:
         c = F.trim(c)
         quoted = c.startswith('"') & c.endswith('"') & (F.length(c) >= 2)
         return F.trim(F.when(quoted, F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
 
-    return F.transform(raw, bare)
+    quoted = F.transform(F.regexp_extract_all(line, F.lit(CELLS), F.lit(1)), bare)
+    return F.when(line.contains('"'), quoted).otherwise(F.transform(F.split(line, ","), lambda c: F.trim(c)))
 
 
 def number(cell: Column) -> Column:
     """struct(value, tol): the figure a cell gives, whatever the way of writing; tol is half the last digit of abbreviated figures."""
+    plain = F.translate(cell, "0123456789.-", "") == ""
     digits = F.replace(F.regexp_extract(cell, NUMBER, 1), F.lit(","), F.lit(""))
     unit = F.upper(F.regexp_extract(cell, NUMBER, 2))
     scale = F.when(unit == "K", 1e3).when(unit == "M", 1e6).when(unit == "B", 1e9).otherwise(1.0)
     decimals = F.length(F.regexp_extract(digits, r"\.([0-9]*)$", 1))
-    return F.struct(
-        (digits.try_cast("double") * scale).alias("value"),
-        F.when(scale > 1, scale * F.pow(F.lit(10.0), -decimals) * 0.5000001).otherwise(0.0).alias("tol"),
+    return F.when(plain, F.struct(cell.try_cast("double").alias("value"), F.lit(0.0).alias("tol"))).otherwise(
+        F.struct(
+            (digits.try_cast("double") * scale).alias("value"),
+            F.when(scale > 1, scale * F.pow(F.lit(10.0), -decimals) * 0.5000001).otherwise(0.0).alias("tol"),
+        )
     )
 
 
@@ -82,197 +87,271 @@ def type_of(n: Column, bigint: Column, double: Column, date: Column, timestamp:
     )
 
 
-def file_columns(lines: DataFrame) -> DataFrame:
-    """(file_id, pos, name, type, date_like, day_first) of every column of every file.
+def file_schemas(lines: DataFrame) -> DataFrame:
+    """(file_id, columns, date) of every file with a header.
 
-    A name that stands twice in a header is told apart by a suffix ``#2``.
+    ``columns`` holds pos, name and type in order; ``date`` is the first column
+    of which all cells are dates, with what its cells with slashes tell of the
+    order of day and month (``day_first`` and ``month_first``, both false if
+    nothing). A name that stands twice in a header is told apart by a suffix
+    ``#2``; of several first lines the least counts. One pass over the lines:
+    cells are counted by file and position before they are shuffled.
     """
-    rows = lines.where(F.col("file_id").isNotNull()).select("file_id", "line_no", cells(F.col("line")).alias("cells"))
-    header = rows.where(F.col("line_no") == 1).groupBy("file_id").agg(F.min("cells").alias("cells"))
-    names = header.select("file_id", F.transform("cells", lambda c: F.lower(c)).alias("names")).select(
-        "file_id", "names", F.posexplode("names").alias("pos", "name")
-    )
-    nth = F.size(F.filter(F.slice("names", 1, F.col("pos") + 1), lambda x: x == F.col("name")))
-    names = names.select("file_id", "pos", F.when(nth > 1, F.concat(F.col("name"), F.lit("#"), nth.cast("string"))).otherwise(F.col("name")).alias("name"))
-    data = rows.where(F.col("line_no") > 1).select("file_id", F.posexplode("cells").alias("pos", "cell")).where(F.col("cell") != "")
-    has = lambda p: F.count(F.when(F.col("cell").rlike(p), 1))
-    slash_first = F.substring_index("cell", "/", 1).try_cast("int")
+    head = F.col("line_no") == 1
+    rows = lines.where(F.col("file_id").isNotNull() & (head | (F.col("line_no") > 1)))
+    rows = rows.select("file_id", F.when(head, F.coalesce("line", F.lit(""))).alias("head"), F.posexplode(cells(F.coalesce("line", F.lit("")))).alias("pos", "cell"))
+    data = F.col("head").isNull() & (F.col("cell") != "")
     # the outline of a cell, figures as 0, tells apart what can be a date before anything is parsed
-    data = data.withColumn("outline", F.translate("cell", "123456789", "000000000"))
+    rows = rows.withColumn("outline", F.translate("cell", "123456789", "000000000"))
     slashed = F.col("outline").isin("00/00/0000", "0/0/0000", "00/0/0000", "0/00/0000")
+    kind = (
+        F.when(~data, F.lit(None))
+        .when(F.col("outline") == "0000-00-00", "date")
+        .when(F.col("outline") == "0000-00-00 00:00:00", "timestamp")
+        .when(F.col("cell").rlike(r"^-?[0-9]+$"), "bigint")
+        .when(F.col("cell").rlike(r"^-?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"), "double")
+        .otherwise("string")
+    )
+    rows = rows.withColumn("kind", kind)
     day_like = (
-        F.when(F.col("outline").isin("0000-00-00", "0000-00-00 00:00:00", "0000-00-00T00:00:00", "0000-00-00 00:00"), F.substring("cell", 1, 10).try_cast("date").isNotNull())
+        F.when(F.col("kind").isin("date", "timestamp") | F.col("outline").isin("0000-00-00T00:00:00", "0000-00-00 00:00"), F.substring("cell", 1, 10).try_cast("date").isNotNull())
         .when(F.col("outline") == "00000000", calendar_day(F.col("cell"), F.lit(False)).isNotNull())
         .otherwise(slashed)
     )
-    stats = data.groupBy("file_id", "pos").agg(
-        F.count(F.lit(1)).alias("n"),
-        has(r"^-?[0-9]+$").alias("bigint"),
-        has(r"^-?([0-9]+(\.[0-9]*)?|\.[0-9]+)$").alias("double"),
-        F.count(F.when(F.col("outline") == "0000-00-00", 1)).alias("date"),
-        F.count(F.when(F.col("outline") == "0000-00-00 00:00:00", 1)).alias("timestamp"),
-        F.coalesce(F.max(F.when(slashed, slash_first)) > 12, F.lit(False)).alias("day_first"),
-        F.count(F.when(day_like, 1)).alias("days"),
+    part = lambda i: F.split("cell", "/")[i].try_cast("int")
+    n = lambda c: F.count(F.when(c, 1))
+    late = lambda i: F.coalesce(F.bool_or(F.when(data & slashed, part(i) > 12)), F.lit(False))
+    stats = rows.groupBy("file_id", "pos").agg(
+        F.min(F.when(F.col("head").isNotNull(), F.struct("head", "cell"))).alias("named"),
+        F.count("kind").alias("n"),
+        *(n(F.col("kind") == k).alias(k) for k in ("bigint", "double", "date", "timestamp")),
+        n(data & day_like).alias("days"),
+        late(0).alias("day_first"),
+        late(1).alias("month_first"),
     )
-    n = F.coalesce("n", F.lit(0))
-    return names.join(stats, ["file_id", "pos"], "left").select(
-        "file_id",
+    column = F.struct(
         "pos",
-        "name",
-        type_of(n, *(F.col(c) for c in ("bigint", "double", "date", "timestamp"))).alias("type"),
-        ((n > 0) & (F.col("days") == n)).alias("date_like"),
-        F.coalesce("day_first", F.lit(False)).alias("day_first"),
+        F.lower("named.cell").alias("name"),
+        type_of(*(F.col(c) for c in ("n", "bigint")), F.col("bigint") + F.col("double"), F.col("date"), F.col("timestamp")).alias("type"),
+        ((F.col("n") > 0) & (F.col("days") == F.col("n"))).alias("dated"),
+        "day_first",
+        "month_first",
     )
+    files = stats.where(F.col("named").isNotNull()).groupBy("file_id").agg(F.min("named.head").alias("head"), F.array_sort(F.collect_list(F.struct(F.col("pos").alias("at"), F.col("named.head").alias("head"), column.alias("c")))).alias("all"))
+    mine = F.transform(F.filter("all", lambda x: x["head"] == F.col("head")), lambda x: x["c"])
+    files = files.select("file_id", mine.alias("all"))
+    before = lambda x, i: F.size(F.filter(F.slice("all", 1, i + 1), lambda y: y["name"] == x["name"]))
+    told = lambda x, i: F.when(before(x, i) > 1, F.concat(x["name"], F.lit("#"), before(x, i).cast("string"))).otherwise(x["name"])
+    named = F.transform("all", lambda x, i: F.struct(x["pos"].alias("pos"), told(x, i).alias("name"), x["type"].alias("type")))
+    dated = F.get(F.filter("all", lambda x: x["dated"]), 0)
+    return files.select("file_id", named.alias("columns"), F.when(dated.isNotNull(), F.struct(*(dated[c].alias(c) for c in ("pos", "day_first", "month_first")))).alias("date"))
 
 
-def _schemas(columns: DataFrame) -> DataFrame:
-    """One row per file: its columns in order and the position of its date."""
-    col = F.struct("pos", "name", "type")
-    return columns.groupBy("file_id").agg(
-        F.array_sort(F.collect_list(col)).alias("columns"),
-        F.min(F.when(F.col("date_like"), F.struct("pos", "day_first"))).alias("date"),
-    )
+def feed_files(files: DataFrame) -> DataFrame:
+    """Files with a feed and an id, each once."""
+    return files.select("file_id", "vendor", "symbol", "received_at").where(F.col("file_id").isNotNull()).dropDuplicates(["file_id"])
 
 
-def compare_files(files: DataFrame, lines: DataFrame, least_agreement: float = 0.9, columns: DataFrame | None = None) -> DataFrame:
-    """Edits of each file against the file before it in its feed (vendor, symbol).
+def file_pairs(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """One row per file with a header: its place in its feed, its schema, and that of the file before it.
 
-    Columns: file_id, previous_id, change, field, old_field, old_type, new_type.
-    The order of a feed is that of received_at (ties by file_id). Changes are
-    added, removed, renamed, retyped and reordered. A rename needs equal
-    figures on at least ``least_agreement`` of the days that both files hold.
-    A file without lines has no columns; files without feed or id, and lines
-    of unknown files, are left out; empty tables give no rows. ``columns`` may
-    give ``file_columns`` where it is at hand; else it is written once, as
-    both files of each pair need it.
+    Where a file's own dates leave the order of day and month open, those of
+    its feed decide, if they agree; else the month goes first. Written once:
+    every later step begins from these rows.
     """
-    feed = files.select("file_id", "vendor", "symbol", "received_at").where(F.col("file_id").isNotNull()).dropDuplicates(["file_id"])
-    pairs = with_previous(feed, ["vendor", "symbol"], ["received_at", "file_id"], "received_at", "file_id", "previous_id")
-    pairs = pairs.where(F.col("previous_id").isNotNull()).select("file_id", "previous_id")
-    lines = lines.select("file_id", "line_no", "line")
-    schemas = _schemas(checkpointed(file_columns(lines)) if columns is None else columns)
-    before = schemas.select(F.col("file_id").alias("previous_id"), F.col("columns").alias("old"), F.col("date").alias("old_date"))
-    both = pairs.join(schemas.withColumnRenamed("columns", "new").withColumnRenamed("date", "new_date"), "file_id").join(before, "previous_id")
+    feed = feed_files(files).join(file_schemas(lines), "file_id", "left")
+    tells = feed.groupBy("vendor", "symbol").agg(F.bool_or("date.day_first").alias("_days"), F.bool_or("date.month_first").alias("_months"))
+    same = F.col("f.vendor").eqNullSafe(F.col("t.vendor")) & F.col("f.symbol").eqNullSafe(F.col("t.symbol"))
+    feed = feed.alias("f").join(tells.alias("t"), same, "left").select("f.*", "_days", "_months")
+    first = F.col("date.day_first") | (~F.col("date.month_first") & F.coalesce("_days", F.lit(False)) & ~F.coalesce("_months", F.lit(False)))
+    feed = feed.withColumn("date", F.when(F.col("date").isNotNull(), F.struct(F.col("date.pos").alias("pos"), first.alias("day_first")))).drop("_days", "_months")
+    feed = feed.withColumn("self", F.struct("file_id", "columns", "date"))
+    pairs = with_previous(feed, ["vendor", "symbol"], ["received_at", "file_id"], "received_at", "self", "before").drop("self").where(F.col("columns").isNotNull())
+    pairs = pairs.select(
+        "file_id", "vendor", "symbol", "received_at", F.col("columns").alias("new"), F.col("date").alias("new_date"),
+        F.col("before.file_id").alias("previous_id"), F.col("before.columns").alias("old"), F.col("before.date").alias("old_date"),
+    )
     names = lambda c: F.transform(c, lambda x: x["name"])
     only = lambda mine, other: F.transform(F.filter(mine, lambda x: ~F.array_contains(names(other), x["name"])), lambda x: x["pos"])
-    both = both.withColumn("new_only", only(F.col("new"), F.col("old"))).withColumn("old_only", only(F.col("old"), F.col("new")))
+    return checkpointed(pairs.withColumn("new_only", only(F.col("new"), F.col("old"))).withColumn("old_only", only(F.col("old"), F.col("new"))))
 
-    # content is compared only where a name of either side is unmatched
-    open_pairs = both.where((F.size("new_only") > 0) & (F.size("old_only") > 0) & F.col("new_date").isNotNull() & F.col("old_date").isNotNull())
-    data = lines.where(F.col("line_no") > 1).select("file_id", cells(F.col("line")).alias("cells"))
-    at = lambda arr, pos: F.get(arr, pos)
 
-    def side(prefix: str, key: str) -> DataFrame:
-        need = open_pairs.select("file_id", "previous_id", f"{prefix}_date", f"{prefix}_only")
-        got = data.withColumnRenamed("file_id", "_file").join(need, F.col("_file") == F.col(key))
-        day = calendar_day(at(F.col("cells"), F.col(f"{prefix}_date.pos")), F.col(f"{prefix}_date.day_first"))
+def agreement(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(file_id, agreement): on how many common days each unmatched column of a file and of the one before hold something, and the same.
 
-        def value(pos: Column) -> Column:
-            cell = F.coalesce(at(F.col("cells"), pos), F.lit(""))
-            return F.struct(pos.alias("pos"), (pos == F.col(f"{prefix}_date.pos")).alias("is_date"), F.lower(cell).alias("text"), number(cell).alias("num"))
+    Only lines of files with unmatched names on both sides are read into cells.
+    Both files' lines meet by pair and day in one shuffle.
+    """
+    open_pairs = pairs.where((F.size("new_only") > 0) & (F.size("old_only") > 0) & F.col("new_date").isNotNull() & F.col("old_date").isNotNull())
+    side = lambda new, of, date, only: F.struct(F.lit(new).alias("new"), F.col(of).alias("of"), F.col(date).alias("date"), F.col(only).alias("only"))
+    need = open_pairs.select("file_id", F.explode(F.array(side(True, "file_id", "new_date", "new_only"), side(False, "previous_id", "old_date", "old_only"))).alias("s")).select("file_id", "s.*")
+    data = lines.where(F.col("line_no") > 1).select(F.col("file_id").alias("of"), "line").join(need, "of").withColumn("cells", cells(F.col("line")))
 
-        return got.select("file_id", day.alias("day"), F.transform(F.col(f"{prefix}_only"), value).alias(prefix)).where(F.col("day").isNotNull()).groupBy("file_id", "day").agg(F.min(prefix).alias(prefix))
+    def value(pos: Column) -> Column:
+        cell = F.coalesce(F.get("cells", pos), F.lit(""))
+        return F.struct(pos.alias("pos"), (pos == F.col("date.pos")).alias("is_date"), F.lower(cell).alias("text"), number(cell).alias("num"))
+
+    day = calendar_day(F.get("cells", F.col("date.pos")), F.col("date.day_first"))
+    data = data.select("file_id", "new", day.alias("day"), F.transform("only", value).alias("values")).where(F.col("day").isNotNull())
+    days = data.groupBy("file_id", "day").agg(F.min(F.when(F.col("new"), F.col("values"))).alias("new"), F.min(F.when(~F.col("new"), F.col("values"))).alias("old"))
 
     def same(a: Column, b: Column) -> Column:
         x, y = a["num"], b["num"]
         near = F.abs(x["value"] - y["value"]) <= F.greatest(x["tol"], y["tol"]) + F.abs(x["value"]) * 1e-9
         return F.when(a["is_date"] | b["is_date"], a["is_date"] & b["is_date"]).otherwise(F.coalesce(near, a["text"] == b["text"]))
 
-    def held(a: Column, b: Column) -> Column:
-        return (a["text"] != "") | (b["text"] != "")
-
-    days = side("new", "file_id").join(side("old", "previous_id"), ["file_id", "day"])
-    pair = lambda a: F.transform(
-        "old", lambda b: F.struct(a["pos"].alias("new_pos"), b["pos"].alias("old_pos"), held(a, b).alias("held"), same(a, b).alias("same"))
-    )
-    agreed = (
-        days.select("file_id", F.explode(F.flatten(F.transform("new", pair))).alias("p"))
+    held = lambda a, b: (a["text"] != "") | (b["text"] != "")
+    pair = lambda a: F.transform("old", lambda b: F.struct(a["pos"].alias("new_pos"), b["pos"].alias("old_pos"), held(a, b).alias("held"), same(a, b).alias("same")))
+    return (
+        days.where(F.col("new").isNotNull() & F.col("old").isNotNull())
+        .select("file_id", F.explode(F.flatten(F.transform("new", pair))).alias("p"))
         .groupBy("file_id", "p.new_pos", "p.old_pos")
         .agg(F.count(F.when(F.col("p.held"), 1)).alias("held"), F.count(F.when(F.col("p.held") & F.col("p.same"), 1)).alias("same"))
         .groupBy("file_id")
         .agg(F.collect_list(F.struct("new_pos", "old_pos", "held", "same")).alias("agreement"))
     )
-    ready = both.join(agreed, "file_id", "left").select("file_id", "previous_id", "new", "old", "agreement")
-    schema = "file_id bigint, previous_id bigint, change string, field string, old_field string, old_type string, new_type string"
+
+
+def edits_of(pairs: DataFrame, lines: DataFrame, least_agreement: float = 0.9, kept: bool = False) -> DataFrame:
+    """Edit scripts of all pairs of files, one row per edit; with ``kept`` also one per column that lives on, with its positions."""
+    ready = pairs.where(F.col("old").isNotNull()).join(agreement(pairs, lines), "file_id", "left").select("file_id", "previous_id", "new", "old", "agreement")
+    columns = ["file_id", "previous_id", "change", "field", "old_field", "old_type", "new_type", "old_pos", "new_pos"]
+    schema = "file_id bigint, previous_id bigint, change string, field string, old_field string, old_type string, new_type string, old_pos int, new_pos int"
 
     def scripts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for row in part.itertuples(index=False):
-                agreement = {(a["old_pos"], a["new_pos"]): a["same"] / a["held"] for a in (row.agreement if row.agreement is not None else []) if a["held"]}
+                shares = {(a["old_pos"], a["new_pos"]): a["same"] / a["held"] for a in (row.agreement if row.agreement is not None else []) if a["held"]}
 
-                def cost(a: Field, b: Field, agreement=agreement) -> float | None:
-                    share = agreement.get((a.key, b.key), 0.0)
+                def cost(a: Field, b: Field, shares=shares) -> float | None:
+                    share = shares.get((a.key, b.key), 0.0)
                     return 1.0 + (1.0 - share) * 0.5 if share >= least_agreement else None
 
                 trees = (Field("", None, tuple(Field(c["name"], c["type"], (), c["pos"]) for c in cols)) for cols in (row.old, row.new))
-                for e in edit_script(*trees, cost):
+                for e in edit_script(*trees, cost, kept):
                     old, new = e.old_field, e.new_field
                     named = (new or old).name if e.change != "reordered" else None
-                    out.append((row.file_id, row.previous_id, e.change, named, old.name if old else None, old.type if old else None, new.type if new else None))
-            yield pd.DataFrame(out, columns=["file_id", "previous_id", "change", "field", "old_field", "old_type", "new_type"])
+                    out.append((row.file_id, row.previous_id, e.change, named, old and old.name, old and old.type, new and new.type, old and old.key, new and new.key))
+            yield pd.DataFrame(out, columns=columns).astype({"old_pos": "Int32", "new_pos": "Int32"})
 
     return ready.mapInPandas(scripts, schema)
 
 
+def compare_files(files: DataFrame, lines: DataFrame, least_agreement: float = 0.9) -> DataFrame:
+    """Edits of each file against the file before it in its feed (vendor, symbol).
+
+    Columns: file_id, previous_id, change, field, old_field, old_type, new_type.
+    The order of a feed is that of received_at (ties by file_id). Changes are
+    added, removed, renamed, retyped and reordered. A rename needs equal
+    figures on at least ``least_agreement`` of the days that both files hold.
+    A file without lines has no columns; files without feed or id, and lines
+    of unknown files, are left out; empty tables give no rows.
+    """
+    lines = lines.select("file_id", "line_no", "line")
+    return edits_of(file_pairs(files, lines), lines, least_agreement).drop("old_pos", "new_pos")
+
+
 def schema_changes(files: DataFrame, lines: DataFrame) -> DataFrame:
     """(file_id, field, change): added, removed, renamed or retyped fields of each file against the one before."""
     return compare_files(files, lines).where(F.col("change") != "reordered").select("file_id", "field", "change")
 
 
-def field_roles(files: DataFrame, columns: DataFrame, edits: DataFrame, roles: Mapping[str, tuple[str, ...]] = ROLES) -> DataFrame:
-    """(vendor, symbol, name, role): the canonical field behind each name of a feed.
+def column_origins(pairs: DataFrame, edits: DataFrame) -> DataFrame:
+    """(file_id, pos, name, origin): for each column the column (file and position) at which it first came into its feed.
 
-    A name known to ``roles`` has its role; another inherits it over the
-    renames of its feed. Only distinct names and renames of a feed are grouped.
+    Scripts are composed along a feed: within months, then over one row per
+    month of a feed, then the origins at a month's begin are put into its files.
     """
-    known = {name: role for role, names in roles.items() for name in names}
-    feed = files.select("file_id", "vendor", "symbol").where(F.col("file_id").isNotNull()).dropDuplicates(["file_id"])
-    names = columns.join(feed, "file_id").select("vendor", "symbol", "name", F.lit(None).cast("string").alias("other")).distinct()
-    renames = edits.where(F.col("change") == "renamed").join(feed, "file_id").select("vendor", "symbol", F.col("field").alias("name"), F.col("old_field").alias("other")).distinct()
-
-    def resolve(part: pd.DataFrame) -> pd.DataFrame:
-        links: dict[str, set[str]] = {}
-        for a, b in zip(part["name"], part["other"]):
-            links.setdefault(a, set())
-            if isinstance(b, str):
-                links[a].add(b)
-                links.setdefault(b, set()).add(a)
-        out = {}
-        for start in links:
-            seen, front = {start}, [start]
-            while front and start not in out:
-                hit = sorted({known[x] for x in front if x in known})
-                if hit:
-                    out[start] = hit[0]
-                    break
-                front = [y for x in front for y in links[x] if y not in seen and not seen.add(y)]
-        return pd.DataFrame({"vendor": part["vendor"].iat[0], "symbol": part["symbol"].iat[0], "name": list(out), "role": list(out.values())})
-
-    return names.unionByName(renames).groupBy("vendor", "symbol").applyInPandas(resolve, "vendor string, symbol string, name string, role string")
+    kept = edits.where("change = 'kept'").groupBy("file_id").agg(F.collect_list(F.struct("old_pos", "new_pos")).alias("kept"))
+    steps = pairs.select("file_id", "vendor", "symbol", "received_at", F.col("new").alias("columns"), F.col("old").isNotNull().alias("follows")).join(kept, "file_id", "left")
+    steps = steps.withColumn("month", F.trunc(F.to_date("received_at"), "month"))
+    text = "vendor string, symbol string, month date"
+
+    def within(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        # an origin that begins with "<" stands for that position of the file before the month
+        rows = rows.sort_values(["received_at", "file_id"], ignore_index=True)
+        out, before = [], None
+        for n, r in enumerate(rows.itertuples(index=False)):
+            links = {k["new_pos"]: k["old_pos"] for k in (r.kept if r.kept is not None else [])} if r.follows else {}
+            at = {}
+            for c in r.columns:
+                old = links.get(c["pos"])
+                at[c["pos"]] = f"{r.file_id}:{c['pos']}" if old is None else f"<{old}" if before is None else before[old]
+                out.append((*key, r.file_id, c["pos"], c["name"], at[c["pos"]], n == len(rows) - 1))
+            before = at
+        return pd.DataFrame(out, columns=["vendor", "symbol", "month", "file_id", "pos", "name", "origin", "last"])
+
+    local = steps.groupBy("vendor", "symbol", "month").applyInPandas(within, f"{text}, file_id bigint, pos int, name string, origin string, last boolean")
+    months = local.groupBy("vendor", "symbol", "month").agg(F.collect_list(F.when(F.col("last"), F.struct("pos", "origin"))).alias("ends"))
+
+    def across(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out, before = [], {}
+        for r in rows.sort_values("month", na_position="first").itertuples(index=False):
+            out.append((*key, r.month, before))
+            before = {str(e["pos"]): before.get(e["origin"][1:], e["origin"]) if e["origin"].startswith("<") else e["origin"] for e in r.ends}
+        return pd.DataFrame(out, columns=["vendor", "symbol", "month", "begin"])
+
+    begins = months.groupBy("vendor", "symbol").applyInPandas(across, f"{text}, begin map<string,string>")
+    same = F.lit(True)
+    for c in ("vendor", "symbol", "month"):
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"b.{c}"))
+    carried = F.when(F.col("l.origin").startswith("<"), F.coalesce(F.col("b.begin")[F.substring("l.origin", 2, 12)], F.col("l.origin"))).otherwise(F.col("l.origin"))
+    return local.alias("l").join(begins.alias("b"), same, "left").select("l.vendor", "l.symbol", "l.file_id", "l.pos", "l.name", carried.alias("origin"))
+
+
+def projections(pairs: DataFrame, edits: DataFrame, roles: Mapping[str, tuple[str, ...]] = ROLES) -> DataFrame:
+    """(file_id, pos, name, role): the scripts compiled into the place of every canonical field in each file; role is null for other columns.
+
+    A column lives on over renames, retypings and moves. Its role is that of
+    the names it has borne in its feed (of several the first in the order of
+    ``roles``); dates are told by their content.
+    """
+    rank = {name: f"{i}{role}" for i, (role, names) in enumerate(roles.items()) for name in names}
+    known = F.create_map(*(F.lit(x) for item in rank.items() for x in item))
+    columns = column_origins(pairs, edits)
+    role = columns.groupBy("vendor", "symbol", "origin").agg(F.substring(F.min(known[F.col("name")]), 2, 20).alias("role")).where(F.col("role").isNotNull())
+    same = F.col("c.vendor").eqNullSafe(F.col("r.vendor")) & F.col("c.symbol").eqNullSafe(F.col("r.symbol")) & (F.col("c.origin") == F.col("r.origin"))
+    placed = columns.alias("c").join(role.alias("r"), same, "left").select("c.file_id", "c.pos", "c.name", "r.role")
+    dates = pairs.select("file_id", F.col("new_date.pos").alias("date_pos"))
+    own = F.when(F.col("pos") == F.col("date_pos"), F.lit("date")).otherwise(F.when((F.col("role") != "date") | F.col("date_pos").isNull(), F.col("role")))
+    return placed.join(dates, "file_id").select("file_id", "pos", "name", own.alias("role"))
 
 
-def consistent_table(files: DataFrame, lines: DataFrame, roles: Mapping[str, tuple[str, ...]] = ROLES) -> DataFrame:
-    """(vendor, symbol, date, open, high, low, close, volume): one row per feed and day over all files.
+@dataclass(frozen=True)
+class ConsistentTable:
+    """What all files give: ``table`` (vendor, symbol, date, figures), ``unplaced`` (file_id, field) columns with no canonical field,
+    ``unread`` (file_id, line_no, cell) lines whose date cannot be read."""
+
+    table: DataFrame
+    unplaced: DataFrame
+    unread: DataFrame
+
+
+def consistent(files: DataFrame, lines: DataFrame, roles: Mapping[str, tuple[str, ...]] = ROLES) -> ConsistentTable:
+    """One table over all files, by projections compiled from the edit scripts, and what has no place in it.
 
     Where files repeat a day, each field comes from the most exact writing,
     then from the file received last. Empty cells are nulls.
     """
-    feed = files.select("file_id", "vendor", "symbol", "received_at").where(F.col("file_id").isNotNull()).dropDuplicates(["file_id"])
     lines = lines.select("file_id", "line_no", "line")
-    columns = checkpointed(file_columns(lines))
-    role = field_roles(files, columns, compare_files(files, lines, columns=columns), roles)
-    columns = columns.join(feed.select("file_id", "vendor", "symbol"), "file_id")
-    same = columns["vendor"].eqNullSafe(role["vendor"]) & columns["symbol"].eqNullSafe(role["symbol"]) & (columns["name"] == role["name"])
-    placed = columns.join(role, same).select("file_id", "role", "pos", "day_first")
-    # the compiled projection of a file: position of each canonical field
-    projection = placed.groupBy("file_id").agg(
-        *(F.min(F.when(F.col("role") == r, F.col("pos"))).alias(f"{r}_at") for r in roles),
-        F.max(F.when(F.col("role") == "date", F.col("day_first"))).alias("day_first"),
-    )
-    rows = lines.where(F.col("line_no") > 1).select("file_id", cells(F.col("line")).alias("cells")).join(projection, "file_id").join(feed, "file_id")
+    pairs = file_pairs(files, lines)
+    placed = projections(pairs, edits_of(pairs, lines, kept=True), roles)
+    at = placed.groupBy("file_id").agg(*(F.min(F.when(F.col("role") == r, F.col("pos"))).alias(f"{r}_at") for r in roles), F.collect_list(F.when(F.col("role").isNull(), F.col("name"))).alias("unplaced"))
+    projection = checkpointed(pairs.select("file_id", "vendor", "symbol", "received_at", F.coalesce("new_date.day_first", F.lit(False)).alias("day_first")).join(at, "file_id"))
     pick = lambda r: F.coalesce(F.get("cells", F.col(f"{r}_at")), F.lit(""))
     figures = [r for r in roles if r != "date"]
-    rows = rows.select("vendor", "symbol", calendar_day(pick("date"), F.coalesce("day_first", F.lit(False))).alias("date"), "received_at", "file_id", *(number(pick(r)).alias(r) for r in figures))
+    rows = lines.where((F.col("line_no") > 1) & (F.trim("line") != "")).join(projection, "file_id").withColumn("cells", cells(F.col("line")))
+    rows = rows.withColumn("date", calendar_day(pick("date"), F.col("day_first")))
+    read = rows.where(F.col("date").isNotNull()).select("vendor", "symbol", "date", "received_at", "file_id", *(number(pick(r)).alias(r) for r in figures))
     exact_last = lambda r: F.when(F.col(f"{r}.value").isNotNull(), F.struct((-F.col(f"{r}.tol")).alias("exact"), F.col("received_at"), F.col("file_id")))
-    return rows.where(F.col("date").isNotNull()).groupBy("vendor", "symbol", "date").agg(*(F.max_by(f"{r}.value", exact_last(r)).alias(r) for r in figures))
+    return ConsistentTable(
+        read.groupBy("vendor", "symbol", "date").agg(*(F.max_by(f"{r}.value", exact_last(r)).alias(r) for r in figures)),
+        projection.select("file_id", F.explode("unplaced").alias("field")),
+        rows.where(F.col("date").isNull()).select("file_id", "line_no", pick("date").alias("cell")),
+    )
+
+
+def consistent_table(files: DataFrame, lines: DataFrame, roles: Mapping[str, tuple[str, ...]] = ROLES) -> DataFrame:
+    """(vendor, symbol, date, open, high, low, close, volume): one row per feed and day over all files."""
+    return consistent(files, lines, roles).table

@@ -4,7 +4,9 @@ A schema is a tree of named, typed fields. The distance is a constrained
 unordered tree edit distance: a field is kept or renamed onto one of the same
 parent's counterpart, its children are paired by a least-cost assignment, and
 what is left over is added or deleted with all that hangs below it. A subtree
-deleted in one place and added unchanged in another is one move.
+deleted in one place and added unchanged in another is then one move, which
+costs no more than both. Pairs of one name take part in the assignment at no
+cost of their own, so a script is the cheapest there is under this constraint.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ class Edit:
     new_field: Field | None = field(default=None, compare=False)
 
 
+#: What a kept name is worth when two pairings cost the same.
+SAME_NAME = 1e-6
 #: (old, new) -> cost of taking one for the other, None where it may not be
 RenameCost = Callable[[Field, Field], "float | None"]
 
@@ -63,31 +67,27 @@ def _pair_cost(a: Field, b: Field, rename: RenameCost) -> float:
 
 def _children(a: Field, b: Field, rename: RenameCost) -> tuple[float, list[tuple[Field, Field]]]:
     """Cost and pairs of the cheapest pairing of the children of ``a`` and ``b``."""
-    named = {c.name: c for c in b.children}
-    by_name = [(c, named[c.name]) for c in a.children if c.name in named]
-    taken = {id(x) for pair in by_name for x in pair}
-    old = [c for c in a.children if id(c) not in taken]
-    new = [c for c in b.children if id(c) not in taken]
-    total = sum(_pair_cost(x, y, rename) for x, y in by_name)
-    pairs = list(by_name)
+    old, new = a.children, b.children
     gain = np.zeros((len(old), len(new)))
     for i, x in enumerate(old):
         for j, y in enumerate(new):
-            # what pairing the two saves against deleting one and adding the other
-            gain[i, j] = min(0.0, _pair_cost(x, y, rename) - x.size() - y.size())
+            # what pairing the two saves against deleting one and adding the other; of equal savings the same name goes first
+            saved = min(0.0, _pair_cost(x, y, rename) - x.size() - y.size())
+            gain[i, j] = saved - SAME_NAME if x.name == y.name and saved < 0 else saved
     chosen = [(i, j) for i, j in least_cost_assignment(gain) if gain[i, j] < 0]
-    pairs += [(old[i], new[j]) for i, j in chosen]
-    total += sum(c.size() for c in old) + sum(c.size() for c in new) + sum(gain[i, j] for i, j in chosen)
+    pairs = [(old[i], new[j]) for i, j in chosen]
+    total = sum(c.size() for c in old) + sum(c.size() for c in new)
+    total += sum(_pair_cost(x, y, rename) - x.size() - y.size() for x, y in pairs)
     return total, pairs
 
 
-def edit_script(old: Field, new: Field, rename: RenameCost) -> list[Edit]:
-    """The cheapest edits that turn ``old`` into ``new``, roots taken for each other."""
+def edit_script(old: Field, new: Field, rename: RenameCost, kept: bool = False) -> list[Edit]:
+    """The cheapest edits that turn ``old`` into ``new``, roots taken for each other. ``kept`` also gives a ``kept`` for every field that lives on, whatever else befalls it."""
 
     def walk(a: Field, b: Field, at_a: tuple[str, ...], at_b: tuple[str, ...]) -> Iterator[Edit]:
         _, pairs = _children(a, b, rename)
         by_old, by_new = {id(x): y for x, y in pairs}, {id(y) for _, y in pairs}
-        kept = [b.children.index(by_old[id(x)]) for x in a.children if id(x) in by_old]
+        order = [b.children.index(by_old[id(x)]) for x in a.children if id(x) in by_old]
         for x in a.children:
             here = (*at_a, x.name)
             if id(x) not in by_old:
@@ -95,6 +95,8 @@ def edit_script(old: Field, new: Field, rename: RenameCost) -> list[Edit]:
                 continue
             y = by_old[id(x)]
             there = (*at_b, y.name)
+            if kept:
+                yield Edit("kept", here, there, x, y)
             if x.name != y.name:
                 yield Edit("renamed", here, there, x, y)
             if x.type is not None and y.type is not None and x.type != y.type:
@@ -103,7 +105,7 @@ def edit_script(old: Field, new: Field, rename: RenameCost) -> list[Edit]:
         for y in b.children:
             if id(y) not in by_new:
                 yield Edit("added", None, (*at_b, y.name), None, y)
-        if kept != sorted(kept):
+        if order != sorted(order):
             yield Edit("reordered", at_a, at_b, a, b)
 
     edits = list(walk(old, new, (), ()))

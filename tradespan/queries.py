@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tradespan.operators.regular_grid import regular_grid
 from tradespan.operators.rolling import rolling_totals
-from tradespan.operators.schema_drift import compare_files, consistent_table, schema_changes
+from tradespan.operators.schema_drift import compare_files, consistent, consistent_table, schema_changes
 from tradespan.operators.spikes import implausible_values
 from tradespan.session import table
 from tradespan.sources.record_parser import failed_records, recovered_records, valid_records
@@ -58,6 +58,14 @@ def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent_table(table(spark, sf_dir, "vendor_files"), table(spark, sf_dir, "vendor_lines"))
 
 
+def p4_unplaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consistent(table(spark, sf_dir, "vendor_files"), table(spark, sf_dir, "vendor_lines")).unplaced
+
+
+def p4_unread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consistent(table(spark, sf_dir, "vendor_files"), table(spark, sf_dir, "vendor_lines")).unread
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failed_records(table(spark, sf_dir, "bar_lines"))
 
@@ -72,7 +80,7 @@ def p5_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_bounds, p1_stuck, p2_rolling_totals, p3_found, p3_grid, p4_found, p4_edit_scripts, p4_table, p5_found, p5_valid, p5_recovered)
+    for f in (p1_found, p1_bounds, p1_stuck, p2_rolling_totals, p3_found, p3_grid, p4_found, p4_edit_scripts, p4_table, p4_unplaced, p4_unread, p5_found, p5_valid, p5_recovered)
 }
 
 _SLOTS = """
