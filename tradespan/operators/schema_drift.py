@@ -32,17 +32,17 @@ CELLS = r'(?:^|,)("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'
 NUMBER = r"^(?:[A-Za-z]{3}\s+)?[$€£]?([+-]?[0-9][0-9,]*+(?:\.[0-9]*)?|[+-]?\.[0-9]+)\s*(%|[A-Za-z]{1,3})?$"
 
 
-def cells(line: Column) -> Column:
-    """Cells of a delimited line without quotes and outer blanks; doubled quotes made single."""
+def raw_cells(line: Column) -> Column:
+    """Cells of a delimited line as they stand; only lines with quotes need the pattern."""
     line = F.regexp_replace(line, "^\ufeff", "")
+    return F.when(line.contains('"'), F.regexp_extract_all(line, F.lit(CELLS), F.lit(1))).otherwise(F.split(line, ","))
 
-    def bare(c: Column) -> Column:
-        c = F.trim(c)
-        quoted = c.startswith('"') & c.endswith('"') & (F.length(c) >= 2)
-        return F.trim(F.when(quoted, F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
 
-    quoted = F.transform(F.regexp_extract_all(line, F.lit(CELLS), F.lit(1)), bare)
-    return F.when(line.contains('"'), quoted).otherwise(F.transform(F.split(line, ","), lambda c: F.trim(c)))
+def bare(cell: Column) -> Column:
+    """A cell without quotes and outer blanks; doubled quotes made single."""
+    cell = F.trim(cell)
+    quoted = cell.startswith('"') & cell.endswith('"') & (F.length(cell) >= 2)
+    return F.trim(F.when(quoted, F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))).otherwise(cell))
 
 
 def number(cell: Column) -> Column:
@@ -88,63 +88,62 @@ def type_of(n: Column, bigint: Column, double: Column, date: Column, timestamp:
 
 
 def file_schemas(lines: DataFrame) -> DataFrame:
-    """(file_id, columns, date) of every file with a header.
+    """(file_id, names, types, date) of every file with a header.
 
-    ``columns`` holds pos, name and type in order; ``date`` is the first column
+    ``names`` and ``types`` are in the order of the columns; ``date`` is the first column
     of which all cells are dates, with what its cells with slashes tell of the
     order of day and month (``day_first`` and ``month_first``, both false if
     nothing). A name that stands twice in a header is told apart by a suffix
     ``#2``; of several first lines the least counts. One pass over the lines:
     cells are counted by file and position before they are shuffled.
     """
-    head = F.col("line_no") == 1
-    rows = lines.where(F.col("file_id").isNotNull() & (head | (F.col("line_no") > 1)))
-    rows = rows.select("file_id", F.when(head, F.coalesce("line", F.lit(""))).alias("head"), F.posexplode(cells(F.coalesce("line", F.lit("")))).alias("pos", "cell"))
-    data = F.col("head").isNull() & (F.col("cell") != "")
-    # the outline of a cell, figures as 0, tells apart what can be a date before anything is parsed
-    rows = rows.withColumn("outline", F.translate("cell", "123456789", "000000000"))
-    slashed = F.col("outline").isin("00/00/0000", "0/0/0000", "00/0/0000", "0/00/0000")
+    lines = lines.where(F.col("file_id").isNotNull()).select("file_id", "line_no", F.coalesce("line", F.lit("")).alias("line"))
+    heads = lines.where(F.col("line_no") == 1).groupBy("file_id").agg(F.min("line").alias("head"))
+    names = F.transform(raw_cells(F.col("head")), lambda c: F.lower(bare(c)))
+    # cells are laid apart before anything is asked of them, so that all of it is compiled code
+    data = lines.where(F.col("line_no") > 1).select("file_id", F.posexplode(raw_cells(F.col("line"))).alias("pos", "cell"))
+    data = data.select("file_id", "pos", bare(F.col("cell")).alias("cell")).where(F.col("cell") != "")
+    size, mark = F.length("cell"), F.substring("cell", 5, 1)
+    iso = F.when((mark == "-") & F.col("cell").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[ T][0-9]{2}:[0-9]{2}(?::[0-9]{2})?)?$"), size)
+    data = data.withColumn("iso", iso)
     kind = (
-        F.when(~data, F.lit(None))
-        .when(F.col("outline") == "0000-00-00", "date")
-        .when(F.col("outline") == "0000-00-00 00:00:00", "timestamp")
-        .when(F.col("cell").rlike(r"^-?[0-9]+$"), "bigint")
-        .when(F.col("cell").rlike(r"^-?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"), "double")
-        .otherwise("string")
+        F.when((F.col("iso") == 10), 3)
+        .when((F.col("iso") == 19) & (F.substring("cell", 11, 1) == " "), 4)
+        .when(F.col("iso").isNotNull(), 5)
+        .when(F.col("cell").rlike(r"^-?[0-9]+$"), 1)
+        .when(F.col("cell").rlike(r"^-?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"), 2)
+        .when(F.col("cell").contains("/") & F.col("cell").rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"), 6)
+        .otherwise(0)
     )
-    rows = rows.withColumn("kind", kind)
+    data = data.withColumn("kind", kind)
     day_like = (
-        F.when(F.col("kind").isin("date", "timestamp") | F.col("outline").isin("0000-00-00T00:00:00", "0000-00-00 00:00"), F.substring("cell", 1, 10).try_cast("date").isNotNull())
-        .when(F.col("outline") == "00000000", calendar_day(F.col("cell"), F.lit(False)).isNotNull())
-        .otherwise(slashed)
+        F.when(F.col("iso").isNotNull(), F.substring("cell", 1, 10).try_cast("date").isNotNull())
+        .when((F.col("kind") == 1) & (size == 8), calendar_day(F.col("cell"), F.lit(False)).isNotNull())
+        .otherwise(F.col("kind") == 6)
     )
     part = lambda i: F.split("cell", "/")[i].try_cast("int")
     n = lambda c: F.count(F.when(c, 1))
-    late = lambda i: F.coalesce(F.bool_or(F.when(data & slashed, part(i) > 12)), F.lit(False))
-    stats = rows.groupBy("file_id", "pos").agg(
-        F.min(F.when(F.col("head").isNotNull(), F.struct("head", "cell"))).alias("named"),
-        F.count("kind").alias("n"),
-        *(n(F.col("kind") == k).alias(k) for k in ("bigint", "double", "date", "timestamp")),
-        n(data & day_like).alias("days"),
-        late(0).alias("day_first"),
-        late(1).alias("month_first"),
+    stats = data.groupBy("file_id", "pos").agg(
+        F.count(F.lit(1)).alias("n"),
+        *(n(F.col("kind") == k).alias(name) for k, name in ((1, "bigint"), (2, "double"), (3, "date"), (4, "timestamp"))),
+        n(day_like).alias("days"),
+        n((F.col("kind") == 6) & (part(0) > 12)).alias("day_first"),
+        n((F.col("kind") == 6) & (part(1) > 12)).alias("month_first"),
     )
     column = F.struct(
         "pos",
-        F.lower("named.cell").alias("name"),
-        type_of(*(F.col(c) for c in ("n", "bigint")), F.col("bigint") + F.col("double"), F.col("date"), F.col("timestamp")).alias("type"),
-        ((F.col("n") > 0) & (F.col("days") == F.col("n"))).alias("dated"),
-        "day_first",
-        "month_first",
+        type_of(F.col("n"), F.col("bigint"), F.col("bigint") + F.col("double"), F.col("date"), F.col("timestamp")).alias("type"),
+        (F.col("days") == F.col("n")).alias("dated"),
+        (F.col("day_first") > 0).alias("day_first"),
+        (F.col("month_first") > 0).alias("month_first"),
     )
-    files = stats.where(F.col("named").isNotNull()).groupBy("file_id").agg(F.min("named.head").alias("head"), F.array_sort(F.collect_list(F.struct(F.col("pos").alias("at"), F.col("named.head").alias("head"), column.alias("c")))).alias("all"))
-    mine = F.transform(F.filter("all", lambda x: x["head"] == F.col("head")), lambda x: x["c"])
-    files = files.select("file_id", mine.alias("all"))
-    before = lambda x, i: F.size(F.filter(F.slice("all", 1, i + 1), lambda y: y["name"] == x["name"]))
-    told = lambda x, i: F.when(before(x, i) > 1, F.concat(x["name"], F.lit("#"), before(x, i).cast("string"))).otherwise(x["name"])
-    named = F.transform("all", lambda x, i: F.struct(x["pos"].alias("pos"), told(x, i).alias("name"), x["type"].alias("type")))
-    dated = F.get(F.filter("all", lambda x: x["dated"]), 0)
-    return files.select("file_id", named.alias("columns"), F.when(dated.isNotNull(), F.struct(*(dated[c].alias(c) for c in ("pos", "day_first", "month_first")))).alias("date"))
+    stats = stats.groupBy("file_id").agg(F.array_sort(F.collect_list(column)).alias("stats"))
+    files = heads.select("file_id", names.alias("names")).join(stats, "file_id", "left")
+    nth = lambda x, i: F.size(F.filter(F.slice("names", 1, i + 1), lambda y: y == x))
+    told = F.transform("names", lambda x, i: F.when(nth(x, i) > 1, F.concat(x, F.lit("#"), nth(x, i).cast("string"))).otherwise(x))
+    types = F.transform("names", lambda x, i: F.get(F.filter("stats", lambda c: c["pos"] == i), F.lit(0))["type"])
+    dated = F.get(F.filter("stats", lambda c: c["dated"] & (c["pos"] < F.size("names"))), F.lit(0))
+    return files.select("file_id", told.alias("names"), types.alias("types"), F.when(dated.isNotNull(), F.struct(*(dated[c].alias(c) for c in ("pos", "day_first", "month_first")))).alias("date"))
 
 
 def feed_files(files: DataFrame) -> DataFrame:
@@ -165,14 +164,13 @@ def file_pairs(files: DataFrame, lines: DataFrame) -> DataFrame:
     feed = feed.alias("f").join(tells.alias("t"), same, "left").select("f.*", "_days", "_months")
     first = F.col("date.day_first") | (~F.col("date.month_first") & F.coalesce("_days", F.lit(False)) & ~F.coalesce("_months", F.lit(False)))
     feed = feed.withColumn("date", F.when(F.col("date").isNotNull(), F.struct(F.col("date.pos").alias("pos"), first.alias("day_first")))).drop("_days", "_months")
-    feed = feed.withColumn("self", F.struct("file_id", "columns", "date"))
-    pairs = with_previous(feed, ["vendor", "symbol"], ["received_at", "file_id"], "received_at", "self", "before").drop("self").where(F.col("columns").isNotNull())
+    feed = feed.withColumn("self", F.struct("file_id", "names", "types", "date"))
+    pairs = with_previous(feed, ["vendor", "symbol"], ["received_at", "file_id"], "received_at", "self", "before").drop("self").where(F.col("names").isNotNull())
     pairs = pairs.select(
-        "file_id", "vendor", "symbol", "received_at", F.col("columns").alias("new"), F.col("date").alias("new_date"),
-        F.col("before.file_id").alias("previous_id"), F.col("before.columns").alias("old"), F.col("before.date").alias("old_date"),
+        "file_id", "vendor", "symbol", "received_at", F.col("names").alias("new"), F.col("types").alias("new_types"), F.col("date").alias("new_date"),
+        F.col("before.file_id").alias("previous_id"), F.col("before.names").alias("old"), F.col("before.types").alias("old_types"), F.col("before.date").alias("old_date"),
     )
-    names = lambda c: F.transform(c, lambda x: x["name"])
-    only = lambda mine, other: F.transform(F.filter(mine, lambda x: ~F.array_contains(names(other), x["name"])), lambda x: x["pos"])
+    only = lambda mine, other: F.array_compact(F.transform(mine, lambda x, i: F.when(~F.array_contains(other, x), i)))
     return checkpointed(pairs.withColumn("new_only", only(F.col("new"), F.col("old"))).withColumn("old_only", only(F.col("old"), F.col("new"))))
 
 
@@ -185,13 +183,13 @@ def agreement(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     open_pairs = pairs.where((F.size("new_only") > 0) & (F.size("old_only") > 0) & F.col("new_date").isNotNull() & F.col("old_date").isNotNull())
     side = lambda new, of, date, only: F.struct(F.lit(new).alias("new"), F.col(of).alias("of"), F.col(date).alias("date"), F.col(only).alias("only"))
     need = open_pairs.select("file_id", F.explode(F.array(side(True, "file_id", "new_date", "new_only"), side(False, "previous_id", "old_date", "old_only"))).alias("s")).select("file_id", "s.*")
-    data = lines.where(F.col("line_no") > 1).select(F.col("file_id").alias("of"), "line").join(need, "of").withColumn("cells", cells(F.col("line")))
+    data = lines.where(F.col("line_no") > 1).select(F.col("file_id").alias("of"), "line").join(need, "of").withColumn("cells", raw_cells(F.col("line")))
 
     def value(pos: Column) -> Column:
-        cell = F.coalesce(F.get("cells", pos), F.lit(""))
+        cell = F.coalesce(bare(F.get("cells", pos)), F.lit(""))
         return F.struct(pos.alias("pos"), (pos == F.col("date.pos")).alias("is_date"), F.lower(cell).alias("text"), number(cell).alias("num"))
 
-    day = calendar_day(F.get("cells", F.col("date.pos")), F.col("date.day_first"))
+    day = calendar_day(bare(F.get("cells", F.col("date.pos"))), F.col("date.day_first"))
     data = data.select("file_id", "new", day.alias("day"), F.transform("only", value).alias("values")).where(F.col("day").isNotNull())
     days = data.groupBy("file_id", "day").agg(F.min(F.when(F.col("new"), F.col("values"))).alias("new"), F.min(F.when(~F.col("new"), F.col("values"))).alias("old"))
 
@@ -213,8 +211,12 @@ def agreement(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def edits_of(pairs: DataFrame, lines: DataFrame, least_agreement: float = 0.9, kept: bool = False) -> DataFrame:
-    """Edit scripts of all pairs of files, one row per edit; with ``kept`` also one per column that lives on, with its positions."""
-    ready = pairs.where(F.col("old").isNotNull()).join(agreement(pairs, lines), "file_id", "left").select("file_id", "previous_id", "new", "old", "agreement")
+    """Edit scripts of the pairs of files whose schemas differ, one row per edit; with ``kept`` also one per column that lives on, with its positions."""
+    changed = pairs.where(F.col("old").isNotNull() & ~((F.col("new") == F.col("old")) & (F.transform("new_types", lambda t: F.coalesce(t, F.lit(""))) == F.transform("old_types", lambda t: F.coalesce(t, F.lit(""))))))
+    found = F.col("agreement")
+    ready = changed.join(agreement(pairs, lines), "file_id", "left").select(
+        "file_id", "previous_id", "new", "old", "new_types", "old_types", *(found[c].alias(c) for c in ("new_pos", "old_pos", "held", "same"))
+    )
     columns = ["file_id", "previous_id", "change", "field", "old_field", "old_type", "new_type", "old_pos", "new_pos"]
     schema = "file_id bigint, previous_id bigint, change string, field string, old_field string, old_type string, new_type string, old_pos int, new_pos int"
 
@@ -222,13 +224,13 @@ def edits_of(pairs: DataFrame, lines: DataFrame, least_agreement: float = 0.9, k
         for part in parts:
             out = []
             for row in part.itertuples(index=False):
-                shares = {(a["old_pos"], a["new_pos"]): a["same"] / a["held"] for a in (row.agreement if row.agreement is not None else []) if a["held"]}
+                shares = {} if row.held is None else {(a, b): same / held for a, b, held, same in zip(row.old_pos, row.new_pos, row.held, row.same) if held}
 
                 def cost(a: Field, b: Field, shares=shares) -> float | None:
                     share = shares.get((a.key, b.key), 0.0)
                     return 1.0 + (1.0 - share) * 0.5 if share >= least_agreement else None
 
-                trees = (Field("", None, tuple(Field(c["name"], c["type"], (), c["pos"]) for c in cols)) for cols in (row.old, row.new))
+                trees = (Field("", None, tuple(Field(n, t, (), i) for i, (n, t) in enumerate(zip(names, types)))) for names, types in ((row.old, row.old_types), (row.new, row.new_types)))
                 for e in edit_script(*trees, cost, kept):
                     old, new = e.old_field, e.new_field
                     named = (new or old).name if e.change != "reordered" else None
@@ -263,41 +265,52 @@ def column_origins(pairs: DataFrame, edits: DataFrame) -> DataFrame:
     Scripts are composed along a feed: within months, then over one row per
     month of a feed, then the origins at a month's begin are put into its files.
     """
-    kept = edits.where("change = 'kept'").groupBy("file_id").agg(F.collect_list(F.struct("old_pos", "new_pos")).alias("kept"))
-    steps = pairs.select("file_id", "vendor", "symbol", "received_at", F.col("new").alias("columns"), F.col("old").isNotNull().alias("follows")).join(kept, "file_id", "left")
+    kept = edits.where("change = 'kept'").groupBy("file_id").agg(F.collect_list("old_pos").alias("kept_old"), F.collect_list("new_pos").alias("kept_new"))
+    steps = pairs.select("file_id", "vendor", "symbol", "received_at", F.col("new").alias("names"), F.col("old").isNotNull().alias("follows")).join(kept, "file_id", "left")
     steps = steps.withColumn("month", F.trunc(F.to_date("received_at"), "month"))
     text = "vendor string, symbol string, month date"
+    month = ["vendor", "symbol", "month"]
+    plain = lambda *key: tuple(None if pd.isna(k) else k for k in key)
 
-    def within(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def within(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # an origin that begins with "<" stands for that position of the file before the month
-        rows = rows.sort_values(["received_at", "file_id"], ignore_index=True)
-        out, before = [], None
-        for n, r in enumerate(rows.itertuples(index=False)):
-            links = {k["new_pos"]: k["old_pos"] for k in (r.kept if r.kept is not None else [])} if r.follows else {}
-            at = {}
-            for c in r.columns:
-                old = links.get(c["pos"])
-                at[c["pos"]] = f"{r.file_id}:{c['pos']}" if old is None else f"<{old}" if before is None else before[old]
-                out.append((*key, r.file_id, c["pos"], c["name"], at[c["pos"]], n == len(rows) - 1))
-            before = at
-        return pd.DataFrame(out, columns=["vendor", "symbol", "month", "file_id", "pos", "name", "origin", "last"])
-
-    local = steps.groupBy("vendor", "symbol", "month").applyInPandas(within, f"{text}, file_id bigint, pos int, name string, origin string, last boolean")
-    months = local.groupBy("vendor", "symbol", "month").agg(F.collect_list(F.when(F.col("last"), F.struct("pos", "origin"))).alias("ends"))
-
-    def across(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out, before = [], {}
-        for r in rows.sort_values("month", na_position="first").itertuples(index=False):
-            out.append((*key, r.month, before))
-            before = {str(e["pos"]): before.get(e["origin"][1:], e["origin"]) if e["origin"].startswith("<") else e["origin"] for e in r.ends}
-        return pd.DataFrame(out, columns=["vendor", "symbol", "month", "begin"])
-
-    begins = months.groupBy("vendor", "symbol").applyInPandas(across, f"{text}, begin map<string,string>")
+        at_month, before = None, None
+        for rows in parts:
+            out = []
+            for r in rows.itertuples(index=False):
+                key = plain(r.vendor, r.symbol, r.month)
+                if key != at_month:
+                    at_month, before = key, None
+                # a file without a script has the schema of the one before it
+                links = {} if not r.follows else dict(zip(r.kept_new, r.kept_old)) if r.kept_new is not None else {i: i for i in range(len(r.names))}
+                at = [f"{r.file_id}:{pos}" if (old := links.get(pos)) is None else f"<{old}" if before is None else before[old] for pos in range(len(r.names))]
+                out.append((*key, r.received_at, r.file_id, r.names, at))
+                before = at
+            yield pd.DataFrame(out, columns=[*month, "received_at", "file_id", "names", "origins"])
+
+    ordered = steps.repartition(*month).sortWithinPartitions(*month, "received_at", "file_id")
+    local = ordered.mapInPandas(within, f"{text}, received_at timestamp_ntz, file_id bigint, names array<string>, origins array<string>")
+    months = local.groupBy(*month).agg(F.max_by("origins", F.struct("received_at", "file_id")).alias("ends"))
+
+    def across(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at_feed, before = None, []
+        for rows in parts:
+            out = []
+            for r in rows.itertuples(index=False):
+                feed = plain(r.vendor, r.symbol)
+                if feed != at_feed:
+                    at_feed, before = feed, []
+                out.append((*feed, *plain(r.month), before))
+                before = [before[int(o[1:])] if o[0] == "<" else o for o in r.ends]
+            yield pd.DataFrame(out, columns=[*month, "begin"])
+
+    begins = months.repartition("vendor", "symbol").sortWithinPartitions(*month).mapInPandas(across, f"{text}, begin array<string>")
     same = F.lit(True)
     for c in ("vendor", "symbol", "month"):
         same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"b.{c}"))
-    carried = F.when(F.col("l.origin").startswith("<"), F.coalesce(F.col("b.begin")[F.substring("l.origin", 2, 12)], F.col("l.origin"))).otherwise(F.col("l.origin"))
-    return local.alias("l").join(begins.alias("b"), same, "left").select("l.vendor", "l.symbol", "l.file_id", "l.pos", "l.name", carried.alias("origin"))
+    carried = F.when(F.col("origin").startswith("<"), F.get("begin", F.substring("origin", 2, 12).cast("int"))).otherwise(F.col("origin"))
+    both = local.alias("l").join(begins.alias("b"), same, "left").select("l.vendor", "l.symbol", "l.file_id", "b.begin", F.posexplode(F.arrays_zip("l.names", "l.origins")).alias("pos", "c"))
+    return both.select("vendor", "symbol", "file_id", "pos", F.col("c.names").alias("name"), F.col("c.origins").alias("origin"), "begin").withColumn("origin", carried).drop("begin")
 
 
 def projections(pairs: DataFrame, edits: DataFrame, roles: Mapping[str, tuple[str, ...]] = ROLES) -> DataFrame:
@@ -339,9 +352,9 @@ def consistent(files: DataFrame, lines: DataFrame, roles: Mapping[str, tuple[str
     placed = projections(pairs, edits_of(pairs, lines, kept=True), roles)
     at = placed.groupBy("file_id").agg(*(F.min(F.when(F.col("role") == r, F.col("pos"))).alias(f"{r}_at") for r in roles), F.collect_list(F.when(F.col("role").isNull(), F.col("name"))).alias("unplaced"))
     projection = checkpointed(pairs.select("file_id", "vendor", "symbol", "received_at", F.coalesce("new_date.day_first", F.lit(False)).alias("day_first")).join(at, "file_id"))
-    pick = lambda r: F.coalesce(F.get("cells", F.col(f"{r}_at")), F.lit(""))
+    pick = lambda r: F.coalesce(bare(F.get("cells", F.col(f"{r}_at"))), F.lit(""))
     figures = [r for r in roles if r != "date"]
-    rows = lines.where((F.col("line_no") > 1) & (F.trim("line") != "")).join(projection, "file_id").withColumn("cells", cells(F.col("line")))
+    rows = lines.where((F.col("line_no") > 1) & (F.trim("line") != "")).join(projection, "file_id").withColumn("cells", raw_cells(F.col("line")))
     rows = rows.withColumn("date", calendar_day(pick("date"), F.col("day_first")))
     read = rows.where(F.col("date").isNotNull()).select("vendor", "symbol", "date", "received_at", "file_id", *(number(pick(r)).alias(r) for r in figures))
     exact_last = lambda r: F.when(F.col(f"{r}.value").isNotNull(), F.struct((-F.col(f"{r}.tol")).alias("exact"), F.col("received_at"), F.col("file_id")))
