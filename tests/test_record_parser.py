@@ -5,12 +5,12 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tradespan.sources.record_parser import failed_records, header_names, next_anchor, parse_line, recovered_records, resumed, valid_records
+from tradespan.sources.record_parser import _with_header, failed_records, header_names, next_anchor, parse_line, parse_records, recovered_records, resumed, valid_records
 
 NAMES = ["date", "open", "high", "low", "close", "volume"]
 GOOD = "2024-03-05 14:30:00,1.5,2,1,1.75,100"
 CELL = r'(?:"(?:[^"]|"")*"|[^",]*)'
-DATE = re.compile(r"(\d{4})-(\d\d)-(\d\d)[T ]([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,30})?)?(Z|[+-]([01]\d|2[0-3])(:?[0-5]\d)?)?", re.A)
+DATE = re.compile(r"(\d{4})-(\d\d)-(\d\d)[T ]([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?(Z|[+-]([01]\d|2[0-3])(:?[0-5]\d)?)?", re.A)
 NUMBER = re.compile(r"[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?", re.A)
 
 
@@ -49,6 +49,7 @@ def brute(line, width):
         ('2024-03-05 14:30:00,"1""2",1,1,1,1', "value"),
         ("2024-03-05 14:30:00,١,1,1,1,1", "value"),
         ("2024-03-05 14:30:00,NaN,1,1,1,1", "value"),
+        ("2024-03-05 14:30:00." + "1" * 31 + ",1,1,1,1,1", None),
         ("", "columns"),
         (None, "columns"),
     ],
@@ -117,3 +118,30 @@ def test_parsing_resumes_within_a_damaged_line(spark):
     (r,) = recovered_records(df).collect()
     assert (r.line_id, r.at, r.date, r.high, r.volume) == (3, 24, dt.datetime(2024, 3, 5, 15, 30), 2.0, 5.0)
     assert [x.line_id for x in failed_records(df).collect()] == [3] and [x.line_id for x in valid_records(df).collect()] == [2]
+
+
+PIECE = st.sampled_from(["2024-03-05", "2023-02-29", "0000-01-01", "9999-12-31", "T", " ", "14:30:00", "23:59:59.123456", "24:00:00", "14:30", ".5", "Z", "+05:30", "-00:45", "+24:00", ",", ",1.5", ",-2e3", ",+.5", ",1.", ", 7 ", ',"8"', ',"9""9"', ",NaN", ",1d", ",Infinity", ",1e999", ",", '"', "\t", "\r", "\n", "x", "\u0661"])
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["2024-03-05 14:30:00", '"2024-03-05T14:30:00Z"', "2024-03-05 14:30:00-05:00", "2024-03-05T00:10:00.5+05:30", ""]), st.lists(PIECE, max_size=9)), min_size=20, max_size=60))
+def test_plain_lines_are_read_as_by_descent(spark, rows):
+    text = [head + "".join(rest) for head, rest in rows] + [GOOD, GOOD.replace("1.5", '"1.5"'), "2024-03-05 14:30:00,1,2,3,4"]
+    files = [("a", "Date,Open,High,Low,Close,Volume"), ("b", '"date","close","x"'), ("c", "date,open,open,low,close,volume"), ("d", "open,date"), ("e", '"date,open'), (None, None)]
+    lines = [(n, f, 1, head) for n, (f, head) in enumerate(files) if head is not None] + [(100 * n + i + 10, f, i + 2, line) for n, (f, _) in enumerate(files) for i, line in enumerate(text)]
+    got = {r.line_id: r for r in parse_records(spark.createDataFrame(lines, "line_id bigint, file_name string, line_no int, line string")).collect()}
+    heads = {f: header_names(head) if head else NAMES for f, head in files}
+    for line_id, f, no, line in lines:
+        if no == 1:
+            continue
+        values, fault = parse_line(line, heads[f])
+        row, values = got[line_id], values or {}
+        assert row.reason == (fault.reason if fault else None)
+        date = values.get("date")
+        assert row.date == (None if date is None else dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=date))
+        assert all(getattr(row, c) == values.get(c) for c in ("open", "high", "low", "close", "volume"))
+
+
+def test_most_lines_of_the_test_table_are_plain(spark, data):
+    rows = _with_header(spark.read.parquet(f"{data}/bar_lines.parquet"), "date")
+    assert rows.where("not plain").count() < 0.1 * rows.count()

@@ -13,6 +13,10 @@ A recursive-descent parser over the grammar
 A syntax error is recorded with its column, and parsing is taken up again at
 the next validated record start: an anchor is the begin of a line, or inside a
 damaged line any place where a complete date cell parses.
+
+Lines of the plain form below, a part of the grammar that a single pattern
+decides, are typed in compiled expressions; all others descend. Both give the
+same values for plain lines.
 """
 
 from __future__ import annotations
@@ -21,7 +25,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = " \t"
@@ -142,7 +147,7 @@ class RecordParser:
         if self.take(":"):
             seconds += self.two(59, "second")
             if self.take("."):
-                micros = int(self.digits(1, 30)[:6].ljust(6, "0"))
+                micros = int(self.digits(1, 1 << 30)[:6].ljust(6, "0"))
         sign = self.take("Z+-")
         if sign and sign != "Z":
             shift = self.two(23, "offset") * 3600
@@ -250,23 +255,55 @@ def resumed(line: str | None, names: list[str]) -> list[tuple[int, dict[str, flo
     return out
 
 
+#: A plain cell: a stamp with seconds and at most six digits of fraction, or a number or nothing; quoted or not, blanks allowed.
+_STAMP = r"[ \t]*+[0-9]{4}-[0-9]{2}-[0-9]{2}[T ](?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]{1,6})?(?:Z|[+-](?:[01][0-9]|2[0-3]):[0-5][0-9])?[ \t]*+"
+_NUMBER = r"[ \t]*+(?:[+-]?(?:[0-9]++(?:\.[0-9]*+)?|\.[0-9]++)(?:[eE][+-]?[0-9]++)?)?+[ \t]*+"
+PLAIN_LINE = rf'\A(?:"{_STAMP}"|{_STAMP})(?:,(?:"{_NUMBER}"|{_NUMBER}))*+\z'
+PLAIN_HEADER = r'\A(?:"[^",]*+"|[^",]*+)(?:,(?:"[^",]*+"|[^",]*+))*+\z'
+
+
+def _cells(line: Column) -> Column:
+    """Cells of a plain line."""
+    return F.transform(F.split(F.replace(line, F.lit('"'), F.lit("")), ","), lambda c: F.btrim(c, F.lit(BLANKS)))
+
+
+def _plain_stamp(cell: Column) -> Column:
+    """UTC time of a plain stamp."""
+    shifted = F.substring(cell, -3, 1) == ":"
+    shifted = shifted & F.substring(cell, -6, 1).isin("+", "-") & (F.length(cell) > 19)
+    bare = F.when(cell.endswith("Z"), F.substring(cell, F.lit(1), F.length(cell) - 1)).when(shifted, F.substring(cell, F.lit(1), F.length(cell) - 6)).otherwise(cell)
+    stamp = bare.try_cast("timestamp_ntz")
+    hours, minutes = F.substring(cell, -5, 2).try_cast("int"), F.substring(cell, -2, 2).try_cast("int")
+    sign = F.when(F.substring(cell, -6, 1) == "-", 1).otherwise(-1)
+    return F.when(shifted, stamp + F.make_dt_interval(F.lit(0), sign * hours, sign * minutes)).otherwise(stamp)
+
+
 def _with_header(lines: DataFrame, default_header: str) -> DataFrame:
-    """Every line but the headers, with its file's header."""
+    """Every line but the headers, with its file's header, the header's ``names`` if it is plain, and whether the line is ``plain``, too."""
     lines = lines.select("line_id", "file_name", "line_no", "line")
+    named = lambda header: F.when(header.rlike(PLAIN_HEADER), _cells(F.lower(F.regexp_replace(header, "^\ufeff+", ""))))
     heads = lines.where(F.col("line_no") == 1).groupBy(F.col("file_name").alias("_file")).agg(F.min(F.coalesce("line", F.lit(""))).alias("header"))
+    heads = heads.withColumn("names", named(F.col("header")))
+    # only a header that begins with the date and names no field twice is plain
+    heads = heads.withColumn("names", F.when((F.get("names", F.lit(0)) == "date") & (F.size(F.array_distinct("names")) == F.size("names")), F.col("names")))
     rows = lines.where((F.col("line_no") != 1) | F.col("line_no").isNull())
-    return rows.join(heads, F.col("file_name").eqNullSafe(F.col("_file")), "left").select(
-        "line_id", "file_name", "line_no", "line", F.coalesce("header", F.lit(default_header)).alias("header")
+    rows = rows.join(heads, F.col("file_name").eqNullSafe(F.col("_file")), "left").select(
+        "line_id", "file_name", "line_no", "line", F.coalesce("header", F.lit(default_header)).alias("header"), F.when(F.col("header").isNull(), named(F.lit(default_header))).otherwise(F.col("names")).alias("names")
     )
+    commas = F.length("line") - F.length(F.replace(F.col("line"), F.lit(","), F.lit("")))
+    day = F.substring(F.ltrim(F.col("line"), F.lit('"' + BLANKS)), 1, 10)
+    dated = day.try_cast("date").isNotNull() & ~day.startswith("0000")
+    return rows.withColumn("plain", F.coalesce((commas == F.size("names") - 1) & dated & F.col("line").rlike(PLAIN_LINE), F.lit(False)))
 
 
-def parse_records(lines: DataFrame, default_header: str = "date,open,high,low,close,volume") -> DataFrame:
+def parse_records(lines: DataFrame, default_header: str = "date,open,high,low,close,volume", failing: bool = False) -> DataFrame:
     """Every line but the headers, typed or with the reason for failure.
 
     Columns: line_id, file_name, line_no, date (timestamp_ntz, UTC), open,
     high, low, close, volume, reason (null for valid rows), at (column of the
     fault), detail, resume_at (column of the next record start in a damaged
-    line, null if there is none).
+    line, null if there is none). ``failing`` leaves plain lines, which cannot
+    fail, out from the start.
 
     A null line is an empty one. A file without line 1 is held against
     ``default_header``; of several first lines the least counts; a null
@@ -274,25 +311,29 @@ def parse_records(lines: DataFrame, default_header: str = "date,open,high,low,cl
     rows are each given. Extra columns are ignored; an empty table gives no rows.
     """
     rows = _with_header(lines, default_header)
+    if failing:
+        rows = rows.where(~F.col("plain"))
+    known = F.col("plain")
+    rows = rows.withColumn("cells", F.when(known, _cells(F.col("line"))))
+    figure = lambda f: F.when(known, F.get("cells", (F.array_position("names", f) - 1).cast("int")).try_cast("double"))
+    has = lambda f: F.when(F.array_contains("names", f), figure(f))
+    rows = rows.select("line_id", "file_name", "line_no", F.when(~known, F.col("line")).alias("line"), F.when(~known, F.col("header")).alias("header"), F.when(known, _plain_stamp(F.get("cells", F.lit(0)))).alias("date"), *(has(f).alias(f) for f in FIELDS), "plain")
     schema = (
         "line_id bigint, file_name string, line_no int, date timestamp_ntz, "
         + ", ".join(f"{f} double" for f in FIELDS)
         + ", reason string, at int, detail string, resume_at int"
     )
-    doubles = [pa.field(f, pa.float64()) for f in FIELDS]
-    arrow = pa.schema(
-        [pa.field("line_id", pa.int64()), pa.field("file_name", pa.string()), pa.field("line_no", pa.int32()), pa.field("date", pa.timestamp("us"))]
-        + doubles
-        + [pa.field("reason", pa.string()), pa.field("at", pa.int32()), pa.field("detail", pa.string()), pa.field("resume_at", pa.int32())]
-    )
+    kinds = {"date": pa.timestamp("us"), **{f: pa.float64() for f in FIELDS}}
+    found = {"reason": pa.string(), "at": pa.int32(), "detail": pa.string(), "resume_at": pa.int32()}
+    arrow = pa.schema([pa.field("line_id", pa.int64()), pa.field("file_name", pa.string()), pa.field("line_no", pa.int32()), *(pa.field(n, t) for n, t in (kinds | found).items())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         headers: dict[str, list[str]] = {}
         for batch in batches:
-            text, head = batch.column("line").to_pylist(), batch.column("header").to_pylist()
-            date, faults, anchors = [], [], []
-            numbers: dict[str, list[float | None]] = {f: [] for f in FIELDS}
-            for line, header in zip(text, head):
+            odd = pc.invert(batch.column("plain"))
+            rest = batch.filter(odd)
+            got: dict[str, list] = {n: [] for n in kinds | found}
+            for line, header in zip(rest.column("line").to_pylist(), rest.column("header").to_pylist()):
                 names = headers.get(header)
                 if names is None:
                     if len(headers) > 1000:
@@ -300,32 +341,24 @@ def parse_records(lines: DataFrame, default_header: str = "date,open,high,low,cl
                     names = headers[header] = header_names(header)
                 values, fault = parse_line(line, names)
                 values = values or {}
-                date.append(values.get("date"))
-                for f in FIELDS:
-                    numbers[f].append(values.get(f))
-                faults.append(fault)
-                anchors.append(next_anchor(line or "", fault.at if fault.reason == "quoting" else 0) if fault else None)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("line_id").cast(pa.int64()),
-                    batch.column("file_name").cast(pa.string()),
-                    batch.column("line_no").cast(pa.int32()),
-                    pa.array(date, pa.timestamp("us")),
-                    *(pa.array(numbers[f], pa.float64()) for f in FIELDS),
-                    pa.array([f and f.reason for f in faults], pa.string()),
-                    pa.array([f and f.at for f in faults], pa.int32()),
-                    pa.array([f and f.detail for f in faults], pa.string()),
-                    pa.array(anchors, pa.int32()),
-                ],
-                schema=arrow,
-            )
+                for n in kinds:
+                    got[n].append(values.get(n))
+                got["reason"].append(fault and fault.reason)
+                got["at"].append(fault and fault.at)
+                got["detail"].append(fault and fault.detail)
+                got["resume_at"].append(next_anchor(line or "", fault.at if fault.reason == "quoting" else 0) if fault else None)
+            columns = [batch.column("line_id").cast(pa.int64()), batch.column("file_name").cast(pa.string()), batch.column("line_no").cast(pa.int32())]
+            for n, t in (kinds | found).items():
+                plain = batch.column(n).cast(t) if n in kinds else pa.nulls(len(batch), t)
+                columns.append(pc.replace_with_mask(plain, odd, pa.array(got[n], t)) if len(rest) else plain)
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return rows.mapInArrow(parse, schema)
 
 
 def failed_records(lines: DataFrame) -> DataFrame:
     """(line_id, reason) of the lines that cannot be read."""
-    return parse_records(lines).where(F.col("reason").isNotNull()).select("line_id", "reason")
+    return parse_records(lines, failing=True).where(F.col("reason").isNotNull()).select("line_id", "reason")
 
 
 def valid_records(lines: DataFrame) -> DataFrame:
@@ -356,4 +389,4 @@ def recovered_records(lines: DataFrame, default_header: str = "date,open,high,lo
                 schema=arrow,
             )
 
-    return _with_header(lines, default_header).mapInArrow(resume, schema)
+    return _with_header(lines, default_header).where(~F.col("plain")).select("line_id", "line", "header").mapInArrow(resume, schema)
