@@ -5,9 +5,10 @@ next reading of its source, the end of its session or ``max_age``, whichever is
 first. These intervals are cut at the borders of the grid's cells; a cell gets
 the time-weighted average of the pieces within and the fraction they cover.
 
-All of it is window and aggregate expressions over (source, session) groups,
-which a session bounds; nothing is ever grouped by source alone except one row
-per session.
+Readings are shuffled once, by source and session. All of it is window and
+aggregate expressions over these groups, which a session bounds; what is ever
+grouped by source alone is one row per session with its cells, so as many as
+its calendar has sessions.
 """
 
 from __future__ import annotations
@@ -87,70 +88,82 @@ def regular_grid(
     """
     readings = readings.select("symbol", "date", "close", "volume", "received_at", "reading_id")
     readings = readings.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("close", "volume")})
-    inside = readings_in_sessions(readings, symbols, sessions)
+    # the one shuffle of readings: a session of a symbol lies together, and all up to its row below stays there
+    inside = readings_in_sessions(readings, symbols, sessions).repartition("symbol", "session")
     arrived = F.struct("received_at", "reading_id")
-    once = inside.groupBy("symbol", "calendar", "session", "part", "part_open", "part_close", "date").agg(
+    once = inside.groupBy("symbol", "session", "part", "date", "calendar", "part_open", "part_close").agg(
         F.max_by("close", F.when(F.col("close").isNotNull(), arrived)).alias("close"),
         F.max_by("volume", F.when(F.col("volume").isNotNull(), arrived)).alias("volume"),
     )
-    start = plus_micros("part_open", F.floor(micros_between("part_open", "date") / step) * step)
-    once = once.withColumn("slot_start", start)
 
-    # validity intervals of closes, cut at cells
-    in_part = Window.partitionBy("symbol", "session", "part").orderBy("date")
-    held = once.where(F.col("close").isNotNull()).withColumn("until", F.coalesce(F.lead("date").over(in_part), F.col("part_close")))
+    # validity intervals of closes, cut at cells; a reading of volume alone lies in its own cell and holds nothing
+    later = Window.partitionBy("symbol", "session", "part").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, -1)
+    has = F.col("close").isNotNull()
+    until = F.coalesce(F.last(F.when(has, F.col("date")), ignorenulls=True).over(later), F.col("part_close"))
     if max_age is not None:
-        held = held.withColumn("until", F.least("until", plus_micros("date", F.lit(max_age))))
+        until = F.least(until, plus_micros("date", F.lit(max_age)))
+    held = once.withColumn("until", until)
     from_cell = F.floor(micros_between("part_open", "date") / step)
     to_cell = F.floor((micros_between("part_open", "until") - 1) / step)
     pieces = (
-        held.withColumn("cell", F.explode(F.sequence(from_cell, F.greatest(from_cell, to_cell))))
-        .withColumn("cell_start", plus_micros("part_open", F.col("cell") * step))
+        held.withColumn("own", from_cell)
+        .withColumn("cell", F.explode(F.sequence("own", F.when(has, F.greatest("own", to_cell)).otherwise(F.col("own")))))
+        .withColumn("slot_start", plus_micros("part_open", F.col("cell") * step))
         .withColumn("cell_end", F.least(plus_micros("part_open", (F.col("cell") + 1) * step), F.col("part_close")))
-        .withColumn("held_us", micros_between(F.greatest("cell_start", "date"), F.least("cell_end", "until")))
+        .withColumn("held_us", F.when(has, micros_between(F.greatest("slot_start", "date"), F.least("cell_end", "until"))))
     )
-    starts_here = F.col("cell_start") == F.col("slot_start")
-    covered = pieces.groupBy("symbol", "session", F.col("cell_start").alias("slot_start")).agg(
+    here = F.col("cell") == F.col("own")
+    cells = pieces.groupBy("symbol", "calendar", "session", "slot_start").agg(
         F.sum(F.col("close") * F.col("held_us")).alias("weighted"),
         F.sum("held_us").alias("held_us"),
-        F.count(F.when(starts_here, 1)).alias("readings"),
-        F.max_by("close", F.when(starts_here, F.col("date"))).alias("close"),
-        F.max_by("close", "date").alias("last_close"),
+        F.count(F.when(here & has, 1)).alias("readings"),
+        F.max_by("close", F.when(here & has, F.col("date"))).alias("close"),
+        F.max_by("close", F.when(has, F.col("date"))).alias("last_close"),
+        F.sum(F.when(here, F.col("volume"))).alias("volume"),
     )
-    volumes = once.groupBy("symbol", "session", "slot_start").agg(F.sum("volume").alias("volume"))
-
-    # sessions between the first and the last with a reading
-    known = symbols.where(F.col("symbol").isNotNull()).select("symbol", "calendar").dropDuplicates(["symbol"])
-    bounds = held.groupBy("symbol").agg(F.min("session").alias("first"), F.max("session").alias("last"))
-    ends = held.groupBy("symbol", "session").agg(F.max_by("close", "date").alias("end_close"))
-    days = sessions.where(F.col("open").isNotNull() & F.col("close").isNotNull()).select("calendar", "session").dropDuplicates()
-    spans = bounds.join(known, "symbol")
-    # one row per symbol and session: the close carried in from the sessions before
-    listed = (
-        spans.join(days, "calendar")
-        .where((F.col("session") >= F.col("first")) & (F.col("session") <= F.col("last")))
-        .select("symbol", "calendar", "session")
-        .join(ends, ["symbol", "session"], "left")
+    # one row per symbol and session, with its cells: their number is bounded by the length of a session
+    cell = F.struct("slot_start", "weighted", "held_us", "readings", "close", "last_close", "volume")
+    days = cells.groupBy("symbol", "calendar", "session").agg(
+        F.array_sort(F.collect_list(cell)).alias("cells"),
+        F.max_by("last_close", F.when(F.col("last_close").isNotNull(), F.col("slot_start"))).alias("end_close"),
+        F.sum("readings").alias("all_readings"),
     )
-    before = Window.partitionBy("symbol").orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
-    carried = listed.withColumn("carried", F.last("end_close", ignorenulls=True).over(before)).drop("end_close")
-
-    slots = session_slots(sessions, step)
-    grid = carried.join(slots, ["calendar", "session"]).join(covered, ["symbol", "session", "slot_start"], "left").join(volumes, ["symbol", "session", "slot_start"], "left")
-    in_session = Window.partitionBy("symbol", "session").orderBy("slot_start").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.last("last_close", ignorenulls=True).over(in_session), F.col("carried"))
+    slots = session_slots(sessions, step).distinct().groupBy("calendar", "session").agg(F.array_sort(F.collect_list(F.struct("slot_start", "slot_end"))).alias("slots"))
+    slots = slots.withColumn("nth", F.row_number().over(Window.partitionBy("calendar").orderBy("session")))
+
+    # each session with readings also stands for those without up to the next; first and last are sessions with a close
+    whole = Window.partitionBy("symbol")
+    order = whole.orderBy("nth")
+    read = F.when(F.col("all_readings") > 0, F.col("nth"))
+    days = days.join(slots.select("calendar", "session", "nth"), ["calendar", "session"]).withColumns(
+        {
+            "following": F.lead("nth").over(order),
+            "carried": F.last("end_close", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
+            "first": F.min(read).over(whole),
+            "last": F.max(read).over(whole),
+        }
+    )
+    reach = F.coalesce(F.col("following") - 1, F.col("nth"))
+    listed = days.where((F.col("nth") >= F.col("first")) & (F.col("nth") <= F.col("last"))).withColumn("at", F.explode(F.sequence("nth", F.greatest("nth", F.least(reach, "last")))))
+    own = F.col("at") == F.col("nth")
+    listed = listed.select("symbol", "calendar", "at", F.when(own, F.col("cells")).alias("cells"), F.when(own, F.col("carried")).otherwise(F.coalesce("end_close", "carried")).alias("carried"))
+    grid = listed.join(slots.withColumnRenamed("nth", "at"), ["calendar", "at"]).select("symbol", "session", "cells", "carried", F.explode("slots").alias("s")).select("symbol", "session", "cells", "carried", "s.*")
+    grid = grid.withColumn("c", F.get(F.filter("cells", lambda c: c["slot_start"] == F.col("slot_start")), F.lit(0)))
+    before = F.filter("cells", lambda c: (c["slot_start"] < F.col("slot_start")) & c["last_close"].isNotNull())
+    earlier = F.coalesce(F.element_at(F.when(F.size(before) > 0, before), -1)["last_close"], F.col("carried"))
+    readings_here = F.coalesce("c.readings", F.lit(0))
     length = micros_between("slot_start", "slot_end")
-    return grid.withColumn("earlier", earlier).select(
+    return grid.select(
         "symbol",
         "session",
         "slot_start",
         "slot_end",
         F.floor(micros_between(F.expr("timestamp_ntz'1970-01-01 00:00:00'"), "slot_start") / 1_000_000).alias("slot_epoch"),
-        F.coalesce("readings", F.lit(0)).alias("readings"),
-        "close",
-        (F.col("weighted") / F.col("held_us")).alias("close_avg"),
-        (F.coalesce("held_us", F.lit(0)) / length).alias("coverage"),
-        "volume",
-        F.coalesce("close", "earlier").alias("close_filled"),
-        (F.coalesce("readings", F.lit(0)) == 0).alias("missing"),
+        readings_here.alias("readings"),
+        F.col("c.close").alias("close"),
+        (F.col("c.weighted") / F.col("c.held_us")).alias("close_avg"),
+        (F.coalesce("c.held_us", F.lit(0)) / length).alias("coverage"),
+        F.col("c.volume").alias("volume"),
+        F.coalesce("c.close", earlier).alias("close_filled"),
+        (readings_here == 0).alias("missing"),
     )
