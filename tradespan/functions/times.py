@@ -13,21 +13,17 @@ def _col(c: Column | str) -> Column:
 
 
 def micros_between(start: Column | str, end: Column | str) -> Column:
-    """Microseconds from ``start`` to ``end`` as bigint."""
+    """Microseconds from ``start`` to ``end`` as bigint: whole seconds, then the rest made seconds; integer arithmetic throughout."""
     gap = _col(end) - _col(start)
-    parts = (F.extract(F.lit(part), gap).cast("bigint") * size for part, size in (("DAY", 86_400_000_000), ("HOUR", 3_600_000_000), ("MINUTE", MINUTE)))
-    seconds = (F.extract(F.lit("SECOND"), gap) * 1_000_000).cast("bigint")
-    total = seconds
-    for p in parts:
-        total = total + p
-    return total
+    whole = lambda interval: interval.cast("interval second").cast("bigint")
+    seconds = whole(gap)
+    rest = gap - F.expr("INTERVAL '1' SECOND") * seconds
+    return seconds * 1_000_000 + whole(rest * F.lit(1_000_000))
 
 
 def plus_micros(ts: Column | str, micros: Column) -> Column:
     """``ts`` moved on by a whole number of microseconds."""
-    m = micros.cast("bigint")
-    seconds = (F.pmod(m, F.lit(86_400_000_000)) / F.lit(1_000_000)).cast("decimal(18,6)")
-    return _col(ts) + F.make_dt_interval(F.floor(m / F.lit(86_400_000_000)).cast("int"), F.lit(0), F.lit(0), seconds)
+    return _col(ts) + F.expr("INTERVAL '0.000001' SECOND") * micros.cast("bigint")
 
 
 def ntz(text: str) -> Column:

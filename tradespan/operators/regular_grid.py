@@ -97,9 +97,9 @@ def regular_grid(
     )
 
     # validity intervals of closes, cut at cells; a reading of volume alone lies in its own cell and holds nothing
-    later = Window.partitionBy("symbol", "session", "part").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, -1)
     has = F.col("close").isNotNull()
-    until = F.coalesce(F.last(F.when(has, F.col("date")), ignorenulls=True).over(later), F.col("part_close"))
+    following = F.expr("lead(if(close is not null, date, null)) ignore nulls over (partition by symbol, session, part order by date)")
+    until = F.coalesce(following, F.col("part_close"))
     if max_age is not None:
         until = F.least(until, plus_micros("date", F.lit(max_age)))
     held = once.withColumn("until", until)
@@ -124,11 +124,11 @@ def regular_grid(
     # one row per symbol and session, with its cells: their number is bounded by the length of a session
     cell = F.struct("slot_start", "weighted", "held_us", "readings", "close", "last_close", "volume")
     days = cells.groupBy("symbol", "calendar", "session").agg(
-        F.array_sort(F.collect_list(cell)).alias("cells"),
+        F.sort_array(F.collect_list(cell)).alias("cells"),
         F.max_by("last_close", F.when(F.col("last_close").isNotNull(), F.col("slot_start"))).alias("end_close"),
         F.sum("readings").alias("all_readings"),
     )
-    slots = session_slots(sessions, step).distinct().groupBy("calendar", "session").agg(F.array_sort(F.collect_list(F.struct("slot_start", "slot_end"))).alias("slots"))
+    slots = session_slots(sessions, step).distinct().groupBy("calendar", "session").agg(F.sort_array(F.collect_list(F.struct("slot_start", "slot_end"))).alias("slots"))
     slots = slots.withColumn("nth", F.row_number().over(Window.partitionBy("calendar").orderBy("session")))
 
     # each session with readings also stands for those without up to the next; first and last are sessions with a close

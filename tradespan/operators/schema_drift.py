@@ -137,7 +137,7 @@ def file_schemas(lines: DataFrame) -> DataFrame:
         (F.col("day_first") > 0).alias("day_first"),
         (F.col("month_first") > 0).alias("month_first"),
     )
-    stats = stats.groupBy("file_id").agg(F.array_sort(F.collect_list(column)).alias("stats"))
+    stats = stats.groupBy("file_id").agg(F.sort_array(F.collect_list(column)).alias("stats"))
     files = heads.select("file_id", names.alias("names")).join(stats, "file_id", "left")
     nth = lambda x, i: F.size(F.filter(F.slice("names", 1, i + 1), lambda y: y == x))
     told = F.transform("names", lambda x, i: F.when(nth(x, i) > 1, F.concat(x, F.lit("#"), nth(x, i).cast("string"))).otherwise(x))
