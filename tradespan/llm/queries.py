@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tradespan.llm.leakage import leaked_pairs, removal_spans
 from tradespan.llm.mixing import counted_documents, mix, reached_shares
-from tradespan.llm.spampages import page_shapes, spam_pages
+from tradespan.llm.spampages import page_shapes, shape_figures, spam_pages
 from tradespan.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,8 +38,12 @@ def p8_page_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_shapes(table(spark, sf_dir, "documents"))
 
 
+def p8_shape_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape_figures(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p6_found, p6_removal_spans, p7_mixture, p7_shares, p8_found, p8_page_shapes)
+    f.__name__: f for f in (p6_found, p6_removal_spans, p7_mixture, p7_shares, p8_found, p8_page_shapes, p8_shape_figures)
 }
 #: Matches with damage, a tokenizer and page shapes are beyond SQL; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}
