@@ -2,16 +2,17 @@
 
 The corpus is cut into shards as it is read; nothing of it is shuffled. Words
 of a shard that occur in no item cannot be part of a match, so the shard's
-FM-index holds the phrases between them. Every phrase of ``seed`` words of the
-items is looked up by backward search, all at once; located occurrences of one
-item on one alignment are joined and extended word by word, passing single
-misread words, and runs of at least ``least_words`` words of the item are kept.
+FM-index holds the phrases between them. It is built on loose word keys, which
+hold for every misreading that is passed over, so that no run can lack a seed:
+every phrase of ``seed`` words of the items is looked up by backward search, all
+at once; located occurrences are verified and extended word by word, and runs
+of at least ``least_words`` words of the item are kept.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradespan.llm.fmindex import FMIndex
-from tradespan.llm.words import word_keys, word_places
+from tradespan.llm.words import is_foreign, word_keys, word_places
 
 ITEM_BLOCK = 4096
 SHARD_BYTES = 4 << 20
@@ -33,6 +34,7 @@ class Items:
     seed: int
     ids: list[int]
     keys: list[np.ndarray] = field(default_factory=list)
+    loose: list[np.ndarray] = field(default_factory=list)
     words: list[list[bytes]] = field(default_factory=list)
     numbers: list[np.ndarray] = field(default_factory=list)
 
@@ -42,20 +44,26 @@ class Items:
         out = cls(seed, [])
         for item, text, instruction in rows:
             body = text[len(instruction) :] if instruction and text.startswith(instruction) else text
-            keys, _, opens, closes, flat = word_keys([body.encode("utf-8", "surrogatepass")])
+            raw = body.encode("utf-8", "surrogatepass")
+            keys, loose, _, opens, closes, flat = word_keys([raw])
             out.ids.append(item)
             out.keys.append(keys)
+            out.loose.append(loose)
             out.words.append([flat[a:b] for a, b in zip(opens, closes)])
             # number of each word among all blank-separated words, so words of which no key is left count too
+            if is_foreign(raw):
+                # words of scripts without blanks are not blank-separated
+                out.numbers.append(np.arange(len(keys)))
+                continue
             places = word_places(body)
             starts = np.array([i for i, c in enumerate(body) if not c.isspace() and (i == 0 or body[i - 1].isspace())] or [0])
             real = np.array([any(ch.isalnum() for ch in body[a:b]) for a, b in zip(starts, np.r_[starts[1:], len(body)])])
             nth = np.cumsum(real) - 1
             at = [nth[np.searchsorted(starts, p, side="right") - 1] for p, _ in places]
             out.numbers.append(np.array(at if len(at) == len(keys) else range(len(keys)), np.int64))
-        out.vocabulary = np.unique(np.concatenate([*out.keys, np.zeros(0, np.uint64)]))
+        out.vocabulary = np.unique(np.concatenate([*out.loose, np.zeros(0, np.uint64)]))
         seeds: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
-        for n, keys in enumerate(out.keys):
+        for n, keys in enumerate(out.loose):
             ids = np.searchsorted(out.vocabulary, keys) + 1
             for p in range(len(ids) - seed + 1):
                 seeds[tuple(ids[p : p + seed])].append((n, p))
@@ -74,12 +82,17 @@ def nearly(a: bytes, b: bytes) -> bool:
 
 def shard_matches(texts: list[bytes], items: Items, least_words: int) -> list[tuple[int, int, int, int, int]]:
     """(text number, item number, words, first word, last word) of the runs found in one shard."""
-    keys, owner, opens, closes, flat = word_keys(texts)
+    return block_matches(word_keys(texts), len(texts), items, least_words)
+
+
+def block_matches(words: tuple, n_texts: int, items: Items, least_words: int) -> list[tuple[int, int, int, int, int]]:
+    """``shard_matches`` for the words of a shard and one block of items."""
+    keys, loose, owner, opens, closes, flat = words
     if not len(keys) or not len(items.patterns):
         return []
-    slot = np.searchsorted(items.vocabulary, keys)
+    slot = np.searchsorted(items.vocabulary, loose)
     slot[slot == len(items.vocabulary)] = 0
-    ids = np.where(items.vocabulary[slot] == keys, slot + 1, 0)
+    ids = np.where(items.vocabulary[slot] == loose, slot + 1, 0)
     # phrases of in-vocabulary words of one text, at least a seed long
     breaks = np.r_[True, (ids[1:] == 0) | (ids[:-1] == 0) | (owner[1:] != owner[:-1])]
     starts = np.flatnonzero(breaks)
@@ -110,8 +123,8 @@ def shard_matches(texts: list[bytes], items: Items, least_words: int) -> list[tu
     doc, item, diagonal, tok = owner[tok][order], item[order], diagonal[order], tok[order]
     group = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1])])
     ends = np.r_[group[1:], len(doc)]
-    first_of = np.searchsorted(owner, np.arange(len(texts)))
-    last_of = np.searchsorted(owner, np.arange(len(texts)), side="right")
+    first_of = np.searchsorted(owner, np.arange(n_texts))
+    last_of = np.searchsorted(owner, np.arange(n_texts), side="right")
     runs: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
     for lo, hi in zip(group, ends):
         d, n, diag = int(doc[lo]), int(item[lo]), int(diagonal[lo])
@@ -121,11 +134,13 @@ def shard_matches(texts: list[bytes], items: Items, least_words: int) -> list[tu
         for s in tok[lo:hi]:
             if s < done:
                 continue
-            a, b = int(s), int(s) + items.seed
+            a = b = int(s)
 
             def alike(t: int) -> bool:
                 return keys[t] == ikeys[t - diag] or nearly(flat[opens[t] : closes[t]], iwords[t - diag])
 
+            if not alike(a):
+                continue
             while a > begin and alike(a - 1):
                 a -= 1
             while b < stop and alike(b):
@@ -172,6 +187,47 @@ def suite_instructions(items: DataFrame) -> dict[str, str]:
     return out
 
 
+def _scan(documents: DataFrame, items: DataFrame, least_words: int, seed: int, item_block: int, shard_bytes: int, schema: str, give: Callable[[object, list[tuple]], list[tuple]]) -> DataFrame:
+    """One pass over the corpus: the passages of each document go through ``give`` (id, [(item, words, start, end)])."""
+    sc = documents.sparkSession.sparkContext
+    instructions = suite_instructions(items)
+    wanted = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "suite", "text").sort("item_id")
+    blocks = []
+    block: list[tuple[int, str, str]] = []
+    for row in wanted.toLocalIterator():
+        block.append((row.item_id, row.text, instructions.get(row.suite, "")))
+        if len(block) == item_block:
+            blocks.append(sc.broadcast(Items.build(block, seed)))
+            block = []
+    if block:
+        blocks.append(sc.broadcast(Items.build(block, seed)))
+    columns = [f.split()[0] for f in schema.split(", ")]
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            ids, texts = part["doc_id"].to_numpy(), part["text"].tolist()
+            out: list[tuple] = []
+            raw: list[bytes] = []
+            size = begin = 0
+            for k, text in enumerate([*texts, None]):
+                if raw and (text is None or size > shard_bytes):
+                    words = word_keys(raw)
+                    found: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+                    for each in blocks:
+                        for d, n, count, a, b in block_matches(words, len(raw), each.value, least_words):
+                            found[d].append((each.value.ids[n], count, a, b))
+                    for d, passages in found.items():
+                        places = word_places(texts[begin + d])
+                        out += give(ids[begin + d], [(item, count, places[a][0], places[b - 1][1]) for item, count, a, b in passages])
+                    raw, size, begin = [], 0, k
+                if text is not None:
+                    raw.append(text.encode("utf-8", "surrogatepass"))
+                    size += len(raw[-1])
+            yield pd.DataFrame(out, columns=columns)
+
+    return documents.where(F.col("text").isNotNull()).select("doc_id", "text").mapInPandas(scan, schema)
+
+
 def leaked_passages(
     documents: DataFrame,
     items: DataFrame,
@@ -184,50 +240,15 @@ def leaked_passages(
 
     ``words`` counts the item's words, ``start`` and ``end`` are characters of
     the document's text. The instruction shared by a suite is left out of its
-    items. The items are the query set; they are taken in blocks of
-    ``item_block``, and each block passes over the corpus once, so neither its
-    size nor the corpus's is bounded. Null or empty texts and items without id
-    match nothing; repeated documents are each given; a passage found twice in
-    a document gives two rows; extra columns are ignored.
+    items. The items are the stated query set, smaller than a shard's index
+    may be; they are prepared in blocks of ``item_block``, and every block is
+    searched for in a shard while it is at hand, so the corpus is read once.
+    Null or empty texts and items without id match nothing; repeated documents
+    are each given; a passage found twice in a document gives two rows; extra
+    columns are ignored.
     """
     schema = "doc_id bigint, item_id bigint, words int, start int, end int"
-    spark = documents.sparkSession
-    instructions = suite_instructions(items)
-    wanted = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "suite", "text").sort("item_id")
-    documents = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
-    result = None
-    block: list[tuple[int, str, str]] = []
-
-    def over(rows: list[tuple[int, str, str]]) -> DataFrame:
-        prepared = Items.build(rows, seed)
-
-        def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                ids, texts = part["doc_id"].to_numpy(), part["text"].tolist()
-                out: list[tuple[int, int, int, int, int]] = []
-                raw: list[bytes] = []
-                size = begin = 0
-                for k, text in enumerate([*texts, None]):
-                    if text is None or size > shard_bytes:
-                        for d, n, words, a, b in shard_matches(raw, prepared, least_words):
-                            places = word_places(texts[begin + d])
-                            out.append((ids[begin + d], prepared.ids[n], words, places[a][0], places[b - 1][1]))
-                        raw, size, begin = [], 0, k
-                    if text is not None:
-                        raw.append(text.encode("utf-8", "surrogatepass"))
-                        size += len(raw[-1])
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "words", "start", "end"])
-
-        return documents.mapInPandas(scan, schema)
-
-    for row in wanted.toLocalIterator():
-        block.append((row.item_id, row.text, instructions.get(row.suite, "")))
-        if len(block) == item_block:
-            result = over(block) if result is None else result.unionByName(over(block))
-            block = []
-    if block or result is None:
-        result = over(block) if result is None else result.unionByName(over(block))
-    return result
+    return _scan(documents, items, least_words, seed, item_block, shard_bytes, schema, lambda doc, found: [(doc, *f) for f in found])
 
 
 def leaked_pairs(documents: DataFrame, items: DataFrame, least_words: int = 12) -> DataFrame:
@@ -235,19 +256,22 @@ def leaked_pairs(documents: DataFrame, items: DataFrame, least_words: int = 12)
     return leaked_passages(documents, items, least_words).select("doc_id", "item_id").distinct()
 
 
+def merged_spans(doc: object, found: list[tuple[int, int, int, int]]) -> list[tuple]:
+    """(doc, start, end, items): overlapping passages of one document merged."""
+    spans: list[list] = []
+    for item, _, start, end in sorted(found, key=lambda f: f[2:]):
+        if spans and start <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], end)
+            spans[-1][2].add(item)
+        else:
+            spans.append([start, end, {item}])
+    return [(doc, a, b, len(items)) for a, b, items in spans]
+
+
 def removal_spans(documents: DataFrame, items: DataFrame, least_words: int = 12) -> DataFrame:
-    """(doc_id, start, end, items): overlapping passages of a document merged into spans to cut out."""
-    found = leaked_passages(documents, items, least_words)
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start", "end"])
-        spans: list[list] = []
-        for r in rows.itertuples(index=False):
-            if spans and r.start <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], r.end)
-                spans[-1][2].add(r.item_id)
-            else:
-                spans.append([r.start, r.end, {r.item_id}])
-        return pd.DataFrame([(rows["doc_id"].iat[0], a, b, len(i)) for a, b, i in spans], columns=["doc_id", "start", "end", "items"])
+    """(doc_id, start, end, items): overlapping passages of a document merged into spans to cut out.
 
-    return found.groupBy("doc_id").applyInPandas(merge, "doc_id bigint, start int, end int, items int")
+    They are merged where the document is read, so nothing is shuffled; rows
+    that repeat a document give its spans again.
+    """
+    return _scan(documents, items, least_words, 4, ITEM_BLOCK, SHARD_BYTES, "doc_id bigint, start int, end int, items int", merged_spans)
