@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradespan.llm.fmindex import FMIndex
-from tradespan.llm.words import is_foreign, word_keys, word_places
+from tradespan.llm.words import single, word_keys, word_places
 
 ITEM_BLOCK = 4096
 SHARD_BYTES = 4 << 20
@@ -51,8 +51,8 @@ class Items:
             out.loose.append(loose)
             out.words.append([flat[a:b] for a, b in zip(opens, closes)])
             # number of each word among all blank-separated words, so words of which no key is left count too
-            if is_foreign(raw):
-                # words of scripts without blanks are not blank-separated
+            if any(map(single, body)):
+                # words of scripts written without blanks are not blank-separated
                 out.numbers.append(np.arange(len(keys)))
                 continue
             places = word_places(body)

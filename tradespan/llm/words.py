@@ -99,14 +99,32 @@ def single(c: str) -> bool:
     return 0x0E00 <= n < 0x0F00 or 0x1000 <= n < 0x10A0 or 0x1780 <= n < 0x1800 or 0x3040 <= n < 0x3100 or 0x3400 <= n < 0xA000 or 0xF900 <= n < 0xFB00 or 0x20000 <= n < 0x32000
 
 
+#: Runs of other scripts that no Western letter touches; one that is touched is damage of an accent.
+_RUN = re.compile("(?<![0-9A-Za-z\u00c0-\u024f])[\u0370-\u1dff\u1f00-\u1fff\u2c00-\ufefe\uff00-\uffef\U00010000-\U0003ffff]+(?![0-9A-Za-z\u00c0-\u024f])")
+
+
 def is_foreign(raw: bytes) -> bool:
     return FOREIGN.search(raw) is not None
 
 
+def plain_parts(text: str) -> list[str]:
+    """What stands for each character: plain letters for words of other scripts, the rest as it is.
+
+    A single letter of another script is as often a damaged accent as a word,
+    so it has no key in any text, unless its script is written without blanks.
+    """
+    parts = list(text)
+    for run in _RUN.finditer(text):
+        told = [transliterated(c) for c in run.group()]
+        if sum(t.strip() != "" for t in told) > 1 or any(single(c) for c in run.group()):
+            parts[run.start() : run.end()] = told
+    return parts
+
+
 def unify(raw: bytes) -> bytes:
     """Plain line ends; non-breaking blanks, also damaged ones, out of the way; other scripts in plain letters."""
     if is_foreign(raw):
-        raw = "".join(map(transliterated, raw.decode("utf-8", "surrogatepass"))).encode("utf-8", "surrogatepass")
+        raw = "".join(plain_parts(raw.decode("utf-8", "surrogatepass"))).encode("utf-8", "surrogatepass")
     return raw.replace(b"\r\n", b"\n").replace(b"\r", b"\n").replace(b"\xc3\x83\xc2\xa0", b"\xc3\x83").replace(b"\xc2\xa0", b" ")
 
 
@@ -153,7 +171,7 @@ def word_places(text: str) -> list[tuple[int, int]]:
     if not is_foreign(raw):
         return _places(text)
     # where each character of the transliterated text comes from
-    parts = [transliterated(c) for c in text]
+    parts = plain_parts(text)
     at = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     out = []
     for a, b in _places("".join(parts)):
