@@ -1,6 +1,7 @@
 import math
 from pathlib import Path
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -84,3 +85,46 @@ def test_odd_tables(spark):
     assert [tuple(r) for r in mix(c, targets).collect()] == [(1, "x", 2, 1)]
     assert mix(c.limit(0), targets).count() == 0 and mix(c, targets.limit(0)).count() == 0
     assert reached_shares(c.limit(0), targets).first().tokens == 0
+
+
+def test_capped_documents_hand_their_surplus_on(spark):
+    rows = [(i, "a", 100.0 if i < 10 else 1.0, 10) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, weight double, tokens bigint")
+    picked = mix(docs, spark.createDataFrame([("a", 0.5, 1)], TARGET)).collect()
+    assert sum(r.tokens for r in picked) == 500 and {r.doc_id for r in picked} >= set(range(10))
+    twice = mix(docs, spark.createDataFrame([("a", 1.5, 2)], TARGET)).collect()
+    assert sum(r.tokens * r.copies for r in twice) == 1500 and all(r.copies == 2 for r in twice if r.doc_id < 10)
+    free = mix(docs, spark.createDataFrame([("a", 0.5, None)], TARGET)).collect()
+    assert sum(r.tokens * r.copies for r in free) == 500 and all(r.copies >= 4 for r in free if r.doc_id < 10)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([0.1, 1.0, 3.0, 50.0, 1e4]), st.integers(1, 60)), min_size=5, max_size=60), st.floats(0.05, 3.0), st.integers(1, 3))
+def test_reachable_shares_are_reached(spark, rows, share, repeats):
+    docs = spark.createDataFrame([(i, "a", w, t) for i, (w, t) in enumerate(rows)], "doc_id bigint, source string, weight double, tokens bigint")
+    got = mix(docs, spark.createDataFrame([("a", share, repeats)], TARGET)).collect()
+    whole = sum(t for _, t in rows)
+    assert abs(sum(r.tokens * r.copies for r in got) - min(share, repeats) * whole) <= 61
+    assert all(r.copies <= repeats for r in got)
+
+
+def test_inclusion_frequencies_follow_the_odds(spark):
+    """Many sources of equal documents stand for many seeds."""
+    weights = [1.0, 2.0, 4.0]
+    docs = spark.range(1000 * 42).selectExpr("id AS doc_id", "concat('s', id % 1000) AS source", "element_at(array(1d, 2d, 4d), cast((id div 1000) % 3 + 1 AS int)) AS weight", "10L AS tokens")
+    targets = spark.range(1000).selectExpr("concat('s', id) AS source", "0.00036 AS target_share", "1 AS max_repeats")
+    got = {r.weight: r.n / 14_000 for r in mix(docs, targets).join(docs.select("doc_id", "weight"), "doc_id").groupBy("weight").agg(F.count("*").alias("n")).collect()}
+    expected = 0.36 * 42
+    for w in weights:
+        assert abs(got[w] - expected * w / (14 * sum(weights))) < 0.02, got
+
+
+def test_two_pieces_of_one_key_are_told_apart(monkeypatch):
+    from tradespan.llm import tokens
+
+    monkeypatch.setattr(tokens, "VALUE", np.ones(256, np.uint64))
+    monkeypatch.setattr(tokens, "POWER", np.ones(tokens.LONGEST + 1, np.uint64))
+    c = TokenCounter()
+    texts = ["the cat sat on a mat", "tac eht tas no a tam", "xq zv qj 77 :: --", "supercalifragilistic expialidocious", "suilarepacfragilistic"]
+    for _ in range(3):
+        assert c.counts(texts).tolist() == [len(c.encode(t)) for t in texts]

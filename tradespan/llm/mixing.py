@@ -1,7 +1,9 @@
 """Mixing sources to target shares of a token budget.
 
-Every document has an expected number of copies, capped by its source's
-repeats. The whole part is certain; the rest is an inclusion probability, and
+Every document has an expected number of copies, in proportion to its weight
+and capped by its source's repeats; what capped documents cannot take goes to
+the others, so that a source reaches its share if it can. The whole part of
+the expected copies is certain; the rest is an inclusion probability, and
 Pareto order sampling picks who gets one copy more: documents are ranked by
 the odds of a random number over the odds of their inclusion, and the first
 ones are taken until the source's tokens are complete.
@@ -22,11 +24,13 @@ from tradespan.llm.tokens import DEFAULT_VOCABULARY, TokenCounter
 from tradespan.session import checkpointed
 
 BUCKETS = 4096
+#: Classes of weights per unit of their logarithm: weights of one class differ by a thousandth at most.
+WEIGHT_CLASSES = 1024
 MAX_SOURCES = 100_000
 
 
 def counted_documents(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, weight: Column | None = None) -> DataFrame:
-    """(doc_id, source, tokens, weight), written once to the shared folder. Sources are compared in lower case without outer blanks."""
+    """(doc_id, source, tokens, weight; 1 if none is named), written once to the shared folder. Sources are compared in lower case without outer blanks."""
     rows = documents.select(
         "doc_id", F.lower(F.trim("source")).alias("source"), (F.lit(1.0) if weight is None else weight).cast("double").alias("weight"), F.coalesce("text", F.lit("")).alias("text")
     )
@@ -49,7 +53,7 @@ def mix(counted: DataFrame, targets: DataFrame, seed: int = 7, budget: int | Non
 
     ``budget`` defaults to the tokens of all documents. Documents without
     source, of a source without target, without tokens or without weight are
-    not used. A source that cannot fill its share with ``max_repeats`` copies of each
+    not used; ``max_repeats`` null is no cap. A source that cannot fill its share with ``max_repeats`` copies of each
     document falls short; nothing takes its place. Equal random numbers are
     told apart by doc_id; repeated doc_ids count as documents of their own.
     The same input and seed give the same mixture.
@@ -63,20 +67,34 @@ def mix(counted: DataFrame, targets: DataFrame, seed: int = 7, budget: int | Non
     sums = counted.agg(F.sum("tokens").alias("all_tokens"))
     docs = counted.where((F.col("tokens") > 0) & (F.col("weight") > 0)).join(aims, "source")
     # one row per source: its budget and how weight turns into expected copies
-    scale = docs.groupBy("source").agg(F.sum(F.col("weight") * F.col("tokens")).alias("weighted"), F.first("target_share").alias("share"))
-    scale = scale.crossJoin(F.broadcast(sums)).select("source", (F.col("share") * (total if total is not None else F.col("all_tokens"))).alias("aim"), "weighted")
+    cap = F.coalesce(F.col("max_repeats").cast("double"), F.lit(float(1 << 31)))
+    classes = docs.groupBy("source", F.floor(F.log("weight") * WEIGHT_CLASSES).alias("class")).agg(
+        F.sum("tokens").alias("t"), F.sum(F.col("weight") * F.col("tokens")).alias("w"), F.max("weight").alias("top"), F.first("target_share").alias("share"), F.first(cap).alias("cap")
+    )
+    of_source = Window.partitionBy("source")
+    upto = of_source.orderBy("class").rowsBetween(Window.unboundedPreceding, 0)
+    classes = classes.crossJoin(F.broadcast(sums)).withColumn("aim", F.col("share") * (total if total is not None else F.col("all_tokens"))).withColumn("whole", F.sum("t").over(of_source))
+    # copies per weight if all classes above are capped and none up to this one is
+    rate = (F.col("aim") - F.col("cap") * (F.col("whole") - F.sum("t").over(upto))) / F.sum("w").over(upto)
+    fits = (F.col("rate") > 0) & (F.col("rate") * F.col("top") <= F.col("cap") * (1 + 1e-9))
+    # rounded, so that the order of summing does not matter
+    rate_of = F.exp(F.round(F.log(F.max_by("rate", F.when(fits, F.col("class")))), 10))
+    scale = classes.withColumn("rate", rate).groupBy("source").agg(rate_of.alias("rate"), F.least(F.first("aim"), F.first("cap") * F.first("whole")).alias("aim"), F.first("cap").alias("cap"))
     scale = small(scale)
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    expected = F.least(F.col("aim") * F.col("weight") / F.col("weighted"), F.col("max_repeats").cast("double"))
+    # without a rate every document is used to the cap
+    expected = F.when(F.col("rate").isNull(), F.col("cap")).otherwise(F.least(F.col("rate") * F.col("weight"), F.col("cap")))
     docs = docs.join(scale, "source").withColumn("expected", expected).withColumn("certain", F.floor(F.col("expected") + 1e-12))
     docs = docs.withColumn("p", F.greatest(F.lit(0.0), F.col("expected") - F.col("certain"))).withColumn("u", u)
     q = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     docs = docs.withColumn("key", F.when(F.col("p") > 1e-12, q / (1 + q)))
     docs = docs.withColumn("b1", F.least(F.floor(F.col("key") * BUCKETS), F.lit(BUCKETS - 1)))
     docs = docs.withColumn("b2", F.least(F.floor((F.col("key") * BUCKETS - F.col("b1")) * BUCKETS), F.lit(BUCKETS - 1)))
-    docs = checkpointed(docs.select("doc_id", "source", "tokens", "certain", "expected", "key", "b1", "b2"))
+    docs = checkpointed(docs.select("doc_id", "source", "tokens", "certain", "aim", "key", "b1", "b2"))
 
-    lack = docs.groupBy("source").agg(F.sum((F.col("expected") - F.col("certain")) * F.col("tokens")).alias("lack"))
+    # what the certain copies leave of the budget, as far as there are documents for it
+    left = F.first("aim") - F.sum(F.col("certain") * F.col("tokens"))
+    lack = docs.groupBy("source").agg(F.least(left, F.coalesce(F.sum(F.when(F.col("key").isNotNull(), F.col("tokens"))), F.lit(0))).alias("lack"))
     lack = small(lack)
 
     def threshold(rows: DataFrame, bucket: str, need: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tradespan.llm.leakage import leaked_pairs, removal_spans
 from tradespan.llm.mixing import counted_documents, mix, reached_shares
@@ -22,12 +23,17 @@ def p6_removal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their tokens; a file is preferred in proportion to its number of cues."""
+    return counted_documents(table(spark, sf_dir, "documents"), weight=F.greatest(F.coalesce("n_cues", F.lit(1)), F.lit(1)))
+
+
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(counted_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
+    return mix(_weighted(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reached_shares(counted_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
+    return reached_shares(_weighted(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ The vocabulary file's path is a parameter; ranks are read once per worker. The
 pattern that cuts text before merging never joins a word to what stands before
 its blank, nor ASCII figures to letters, so counts add up over such pieces. The
 pieces of many texts are found and hashed at once in numpy and only those not
-seen before are encoded. The sums equal the counts of the whole texts.
+seen before are encoded. A piece is known only if its bytes are those of the
+piece it was hashed with: up to 16 bytes are held as two words and a length,
+longer ones are looked up whole. The sums equal the counts of the whole texts.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ import numpy as np
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that belongs to the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LONGEST = 1024
+#: Bytes of a piece that two words hold.
+LONGEST = 16
 REMEMBERED = 1 << 20
 BATCH_BYTES = 4 << 20
 FRONT_BITS = 17
@@ -58,8 +61,11 @@ class TokenCounter:
         self.keys = np.zeros(0, np.uint64)
         self.sizes = np.zeros(0, np.int64)
         # the first place to look: one known piece per slot of the key's top bits
-        self.front_keys = np.zeros(1 << FRONT_BITS, np.uint64)
         self.front_sizes = np.zeros(1 << FRONT_BITS, np.int64)
+        # the bytes behind the keys: two words and a length each
+        self.bytes = np.zeros((3, 0), np.uint64)
+        self.front_bytes = np.zeros((3, 1 << FRONT_BITS), np.uint64)
+        self.long: dict[bytes, int] = {}
 
     def __getstate__(self):
         raise TypeError("a counter belongs to its worker; send the vocabulary's path")
@@ -109,35 +115,54 @@ class TokenCounter:
         with np.errstate(over="ignore"):
             keys = np.add.reduceat(VALUE[a] * POWER[inside], first)
         end = np.r_[first[1:], len(a)]
-        sizes = self._sizes(keys, first, end, flat)
+        wide, shift = a.astype(np.uint64), (inside & 7).astype(np.uint64) << np.uint64(3)
+        wide <<= shift
+        held = np.stack([np.add.reduceat(np.where(inside < 8, wide, 0), first), np.add.reduceat(np.where((inside >= 8) & (inside < 16), wide, 0), first), (end - first).astype(np.uint64)])
+        sizes = self._sizes(keys, held, first, end, flat)
         return np.bincount(np.searchsorted(np.cumsum(lengths), first, side="right"), weights=sizes, minlength=len(raw)).astype(np.int64)
 
-    def _sizes(self, keys: np.ndarray, first: np.ndarray, end: np.ndarray, flat: bytes) -> np.ndarray:
+    def _size(self, piece: bytes) -> int:
+        return len(self.encode(piece.decode("utf-8")))
+
+    def _sizes(self, keys: np.ndarray, held: np.ndarray, first: np.ndarray, end: np.ndarray, flat: bytes) -> np.ndarray:
         long = end - first > LONGEST
         front = (keys >> np.uint64(64 - FRONT_BITS)).astype(np.int64)
         sizes = self.front_sizes[front]
-        rest = np.flatnonzero((self.front_keys[front] != keys) & ~long)
+        rest = np.flatnonzero((self.front_bytes[:, front] != held).any(axis=0) & ~long)
         if len(rest):
             fresh, where, back = np.unique(keys[rest], return_index=True, return_inverse=True)
+            mine = held[:, rest[where]]
             slot = np.searchsorted(self.keys, fresh)
             slot[slot == len(self.keys)] = 0
-            known = self.keys[slot] == fresh if len(self.keys) else np.zeros(len(fresh), bool)
+            known = (self.bytes[:, slot] == mine).all(axis=0) if len(self.keys) else np.zeros(len(fresh), bool)
             size = self.sizes[slot] if len(self.keys) else np.zeros(len(fresh), np.int64)
             new = np.flatnonzero(~known)
             if len(new):
                 size = size.copy()
                 for k in new:
                     i = rest[where[k]]
-                    size[k] = len(self.encode(flat[first[i] : end[i]].decode("utf-8")))
+                    size[k] = self._size(flat[first[i] : end[i]])
                 if len(self.keys) > REMEMBERED:
-                    self.keys, self.sizes = self.keys[:0], self.sizes[:0]
+                    self.keys, self.sizes, self.bytes = self.keys[:0], self.sizes[:0], self.bytes[:, :0]
                 keys_now = np.concatenate([self.keys, fresh[new]])
-                order = np.argsort(keys_now)
+                order = np.argsort(keys_now, kind="stable")
                 self.keys, self.sizes = keys_now[order], np.concatenate([self.sizes, size[new]])[order]
+                self.bytes = np.concatenate([self.bytes, mine[:, new]], axis=1)[:, order]
             at = (fresh >> np.uint64(64 - FRONT_BITS)).astype(np.int64)
-            free = self.front_keys[at] == 0
-            self.front_keys[at[free]], self.front_sizes[at[free]] = fresh[free], size[free]
+            free = self.front_bytes[2, at] == 0
+            self.front_bytes[:, at[free]], self.front_sizes[at[free]] = mine[:, free], size[free]
             sizes[rest] = size[back]
+            # another piece of the same key
+            for i in rest[(mine[:, back] != held[:, rest]).any(axis=0)]:
+                sizes[i] = self._size(flat[first[i] : end[i]])
+        if len(self.long) > REMEMBERED:
+            self.long.clear()
         for i in np.flatnonzero(long):
-            sizes[i] = len(self.encode(flat[first[i] : end[i]].decode("utf-8")))
+            piece = flat[first[i] : end[i]]
+            size = self.long.get(piece)
+            if size is None:
+                size = self._size(piece)
+                if len(piece) <= 256:
+                    self.long[piece] = size
+            sizes[i] = size
         return sizes
