@@ -775,21 +775,36 @@ WITH t AS (SELECT event_type AS symbol, ts, event_id, value, time_bucket(INTERVA
 SELECT symbol, l AS bar_left, l + INTERVAL 1 HOUR AS bar_right, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume
 FROM t GROUP BY symbol, l""")
 def streaming_live_bars(spark, d):
-    """Hourly bars of the event stream, run to its end in update mode; the last version of each bar is kept."""
-    import tempfile
-    import uuid
+    """Hourly bars of the event stream in update mode, in three batches so that bars are put in again; the last version of each is kept."""
+    return _live(spark, d, 4000 * 24 * 60)
+
+
+@query("""
+WITH t AS (SELECT event_type AS symbol, ts, event_id, value, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS l, date_part('minute', ts) >= 40 AS late FROM events),
+w AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 20 DAY AS mark FROM t WHERE date_part('minute', ts) < 20)
+SELECT symbol, l AS bar_left, l + INTERVAL 1 HOUR AS bar_right, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume
+FROM t, w WHERE NOT late OR l + INTERVAL 1 HOUR > mark GROUP BY symbol, l""")
+def streaming_late_ticks(spark, d):
+    """As ``streaming_live_bars``, but ticks of the third batch that come later than 20 days behind the first are dropped: the mark a batch is held to is that of the batch before."""
+    return _live(spark, d, 20 * 24 * 60 - 10)
+
 
-    from tradespan.streaming.live import live_bars, upsert_sink
+def _live(spark, d, delay_minutes: int):
+    import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    at = f"{root}/live-{uuid.uuid4().hex}"
-    schema = table(spark, d, "events").schema
-    ticks = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1.0).alias("size"))
-    bars = live_bars(ticks, 60)
-    q = bars.writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").foreachBatch(upsert_sink(f"{at}/bars")).trigger(availableNow=True).start()
+    from tradespan.session import shared_folder
+    from tradespan.streaming.live import live_bars, live_table, upsert_sink
+
+    at = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    events = table(spark, d, "events")
+    # three files, one stream: each holds later ticks of the same hours
+    for third in range(3):
+        events.where(F.floor(F.minute("ts") / 20) == third).coalesce(1).write.mode("append").parquet(f"{at}/ticks")
+    ticks = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/ticks").select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1.0).alias("size"))
+    bars = live_bars(ticks, 60, delay_minutes)
+    q = bars.writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").foreachBatch(upsert_sink(at)).trigger(availableNow=True).start()
     q.awaitTermination()
-    last = max(p["batchId"] for p in q.recentProgress)
-    return spark.read.parquet(f"{at}/bars/v={last}")
+    return live_table(spark, at)
 
 
 def catalog(spark: SparkSession, d: str, now: dt.datetime = dt.datetime(2024, 6, 28, 23)):
@@ -809,11 +824,27 @@ def get_daily_8_sessions(spark, d):
     return catalog(spark, d).get("1D", end=DAY, days=8)
 
 
-@query(None)
+_LEAD_RANGE = """
+s AS (SELECT session, open AS o, lead(open) OVER (ORDER BY session) AS nx, close FROM sessions WHERE calendar = (SELECT calendar FROM symbols GROUP BY calendar ORDER BY count(*) DESC, min(symbol) LIMIT 1)),
+e AS (SELECT max(session) AS e FROM s WHERE session <= DATE '{day}'),
+r AS (SELECT (SELECT min(o) FROM s WHERE {first}) AS a, (SELECT o + INTERVAL 1 HOUR * (date_diff('minute', o, close) // 60) FROM s, e WHERE session = e.e) AS b)"""
+
+
+@query(f"""
+WITH {CLEAN}, {_LEAD_RANGE.format(day=DAY, first=f"session >= DATE '{FROM.date()}'")},
+placed AS (
+  SELECT c.*, s.session, s.nx, s.o + INTERVAL 2 HOUR * CAST(floor(date_diff('second', s.o, c.bar_left) / 7200) AS INTEGER) AS l
+  FROM clean c JOIN s ON c.bar_left >= s.o AND (s.nx IS NULL OR c.bar_left < s.nx), r WHERE c.bar_left >= r.a AND c.bar_right <= r.b)
+SELECT symbol, l AS bar_left, least(l + INTERVAL 2 HOUR, nx) AS bar_right, {OHLCV} FROM placed GROUP BY symbol, session, l, nx""")
 def get_intraday_2h(spark, d):
     return catalog(spark, d).get("2h", start=FROM, end=DAY)
 
 
-@query(None)
+@query(f"""
+WITH {CLEAN}, {_LEAD_RANGE.format(day=DAY, first="true")},
+back AS (SELECT *, row_number() OVER (ORDER BY session DESC) AS n FROM s WHERE session <= (SELECT e FROM e)),
+t AS (SELECT r.b, CASE WHEN r.b = x.close THEN (SELECT o FROM back WHERE n = 3) ELSE (SELECT o FROM back WHERE n = 4) + (r.b - x.o) END AS a FROM r, back x WHERE x.n = 1)
+SELECT symbol, bar_left, bar_right, open, high, low, close, volume FROM clean, t WHERE bar_left >= t.a AND bar_right <= t.b""")
 def get_inferred(spark, d):
+    """Three days up to the last whole bar of a date: where that is no close, they are counted from its time of day."""
     return catalog(spark, d).get(end=DAY, days=3)

@@ -179,6 +179,22 @@ def overlapping_bars(index: DataFrame) -> DataFrame:
     return rows.join(following, "_d").withColumn("_n", nxt).where(F.col("bar_right") > F.col("_n")).select("bar_left", "bar_right", F.col("_n").alias("next_left"))
 
 
+def index_status(sessions: DataFrame, minutes: Sequence[int], calendars: Sequence[str] | None = None) -> DataFrame:
+    """(minutes, calendar, session, status): what bars of each length make of each session.
+
+    ``conflict``: a bar reaches into the next part or session of its calendar;
+    else ``partial``: a last bar passes its close; else ``whole``.
+    """
+    parts = session_parts(only(sessions, calendars))
+    parts = parts.withColumn("next_open", F.lead("part_open").over(Window.partitionBy("calendar").orderBy("part_open")))
+    parts = parts.withColumn("minutes", F.explode(F.array(*(F.lit(m) for m in minutes))))
+    step = F.col("minutes").cast("bigint") * MINUTE
+    right = plus_micros("part_open", F.ceil(micros_between("part_open", "part_close") / step) * step)
+    facts = parts.withColumn("_c", F.coalesce(right > F.col("next_open"), F.lit(False))).withColumn("_p", right > F.col("part_close"))
+    facts = facts.groupBy("minutes", "calendar", "session").agg(F.bool_or("_c").alias("_c"), F.bool_or("_p").alias("_p"))
+    return facts.select("minutes", "calendar", "session", F.when(F.col("_c"), "conflict").when(F.col("_p"), "partial").otherwise("whole").alias("status"))
+
+
 def trading_spans(sessions: DataFrame, calendars: Sequence[str] | None = None) -> DataFrame:
     """(left, right): times at which any of the calendars trades, joined."""
     parts = session_parts(only(sessions, calendars)).select(F.lit(0).alias("all"), F.col("part_open").alias("left"), F.col("part_close").alias("right"))

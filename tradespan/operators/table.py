@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradespan.errors import MethodUnavailable
-from tradespan.functions.bars import FIELDS, PRICES, has_price, ohlcv
+from tradespan.functions.bars import FIELDS, has_price, ohlcv
 from tradespan.functions.interval import symbols_to_list
 from tradespan.functions.times import MINUTE, micros_between
 from tradespan.operators.calendars import by_date
@@ -53,7 +53,9 @@ def reindexed(bars: DataFrame, index: DataFrame, symbols: DataFrame) -> DataFram
     # told after the aggregate: a filter derived from the key could be evaluated before the join's condition
     made = made.withColumns({c: F.when(F.col("_past"), conflict).otherwise(F.col(c)) for c in FIELDS}).drop("_past").withColumnRenamed("_left", "bar_left")
     spans = made.groupBy("symbol", "calendar").agg(F.min("bar_left").alias("_a"), F.max("bar_left").alias("_b"))
-    wanted = spans.join(index, "calendar").where((F.col("bar_left") >= F.col("_a")) & (F.col("bar_left") <= F.col("_b"))).drop("_a", "_b")
+    # spans meet the index by month, so that no symbol meets bars of its calendar from other years
+    months = spans.withColumn("_m", F.explode(F.expr("sequence(trunc(to_date(_a), 'month'), to_date(_b), interval 1 month)")))
+    wanted = months.join(index.withColumn("_m", F.trunc(F.to_date("bar_left"), "month")), ["calendar", "_m"]).where((F.col("bar_left") >= F.col("_a")) & (F.col("bar_left") <= F.col("_b"))).drop("_a", "_b", "_m")
     return wanted.join(made.drop("calendar"), ["symbol", "bar_left"], "left")
 
 
@@ -161,9 +163,67 @@ def multi_session_status(bars: DataFrame, sessions: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("sessions") == F.col("days"), True).when(F.col("sessions") == 0, False))
 
 
+def bars_by_status(bars: DataFrame, sessions: DataFrame, which: str) -> DataFrame:
+    """Bars (with calendar) that are ``trading`` throughout, ``non_trading`` throughout, or ``partial``."""
+    status = trading_status(bars, sessions)
+    keep = {"trading": F.col("status"), "non_trading": ~F.col("status"), "partial": F.col("status").isNull()}[which]
+    return bars.join(status.where(keep).select("calendar", "bar_left", "bar_right"), ["calendar", "bar_left", "bar_right"], "left_semi")
+
+
+def all_trading(bars: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(calendar, all_trading): whether every bar of a calendar lies in trading hours throughout."""
+    return trading_status(bars, sessions).groupBy("calendar").agg(F.bool_and(F.coalesce("status", F.lit(False))).alias("all_trading"))
+
+
+def composite_status(rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Status of a table of daily and then intraday bars (kind, calendar, bar_left, bar_right): a day's is whether it is a session."""
+    index = rows.select("kind", "calendar", "bar_left", "bar_right").distinct()
+    days = index.where(F.col("kind") == "daily").withColumn("session", F.to_date("bar_left"))
+    days = daily_status(days, sessions).select("kind", "calendar", "bar_left", "bar_right", "status")
+    fine = trading_status(index.where(F.col("kind") == "intraday"), sessions).select(F.lit("intraday").alias("kind"), "calendar", "bar_left", "bar_right", "status")
+    return days.unionByName(fine)
+
+
+def non_session_dates(bars: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(calendar, bar_left, bar_right, date): dates within bars with date bounds that are no sessions."""
+    days = bars.select("calendar", "bar_left", "bar_right", F.explode(F.sequence("bar_left", F.date_sub("bar_right", 1))).alias("date"))
+    return days.join(sessions.select("calendar", F.col("session").alias("date")), ["calendar", "date"], "left_anti").select("calendar", "bar_left", "bar_right", "date")
+
+
+def traded_bars(bars: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Bars during which any of the calendars in ``sessions`` trades: what is left of a table of fewer symbols."""
+    parts = by_date(session_parts(sessions), "part_open", "part_close").select(F.col("_on").alias("_day"), "part_open", "part_close")
+    index = bars.select("bar_left", "bar_right").distinct()
+    hit = (F.col("_on") == F.col("_day")) & (F.col("bar_left") < F.col("part_close")) & (F.col("bar_right") > F.col("part_open"))
+    met = by_date(index, "bar_left", "bar_right").join(parts, hit, "left_semi").select("bar_left", "bar_right").distinct()
+    return bars.join(met, ["bar_left", "bar_right"], "left_semi")
+
+
+def quality(bars: DataFrame, sessions: DataFrame, minutes: int) -> DataFrame:
+    """(symbol, code, bars): what is amiss with bars (with calendar) that does not stop a query.
+
+    Codes: missing_prices (bars without a close), irregular_interval (bars not
+    ``minutes`` long) and outside_calendar (bars before the first session of
+    their calendar or after its last).
+    """
+    reach = sessions.groupBy("calendar").agg(F.min("open").alias("_a"), F.max("close").alias("_b"))
+    length = micros_between("bar_left", "bar_right") != minutes * MINUTE
+    outside = F.coalesce((F.col("bar_left") < F.col("_a")) | (F.col("bar_left") >= F.col("_b")), F.lit(True))
+    n = lambda c: F.count(F.when(c, 1))
+    facts = bars.join(reach, "calendar", "left").groupBy("symbol").agg(n(F.col("close").isNull()).alias("missing_prices"), n(length).alias("irregular_interval"), n(outside).alias("outside_calendar"))
+    codes = ("missing_prices", "irregular_interval", "outside_calendar")
+    rows = facts.select("symbol", F.explode(F.array(*(F.struct(F.lit(c).alias("code"), F.col(c).alias("bars")) for c in codes))).alias("r")).select("symbol", "r.*")
+    return rows.where(F.col("bars") > 0)
+
+
 # shapes of tables
 
 
+def of_length(bars: DataFrame, minutes: int) -> DataFrame:
+    """The bars of one length."""
+    return bars.where(micros_between("bar_left", "bar_right") == minutes * MINUTE)
+
+
 def bar_lengths(bars: DataFrame) -> DataFrame:
     """(minutes, bars): distinct bars of the index by their length."""
     return bars.select("bar_left", "bar_right").distinct().groupBy((micros_between("bar_left", "bar_right") / MINUTE).cast("bigint").alias("minutes")).agg(F.count(F.lit(1)).alias("bars"))
@@ -242,8 +302,9 @@ class PriceTable:
         side: str | None = None,
         close_only: bool = False,
         symbols: Sequence[str] | None = None,
+        lose_single_symbol: bool = False,
     ) -> DataFrame:
-        """Post-processing in a fixed order: symbols, trims, fill, zone, closes only, side.
+        """Post-processing in a fixed order: symbols, trims, fill, zone, closes only, side, single symbol.
 
         ``symbols`` (all of the table) is needed to exclude, and for closes only.
         """
@@ -264,7 +325,7 @@ class PriceTable:
             df = data_for_all(df, data_for_all_start, data_for_all_end)
         if fill is not None:
             df = fillna(df, fill, ts="session" if self.kind == "daily" else "bar_left")
-        if tz is not None and self.kind == "intraday":
+        if tz is not None and self.kind in ("intraday", "composite"):
             df = in_zone(df, tz)
         if close_only:
             if symbols is None:
@@ -274,8 +335,6 @@ class PriceTable:
             self.need("side", "intraday", "sessions", "composite")
             keep = f"bar_{side}"
             df = df.withColumn("ts", F.col(keep)).drop("bar_left", "bar_right")
+        if lose_single_symbol and symbols is not None and len(symbols) == 1:
+            df = df.drop("symbol")
         return df
-
-
-def price_columns() -> list[Column]:
-    return [F.col(c) for c in PRICES]

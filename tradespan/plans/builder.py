@@ -8,18 +8,19 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradespan.errors import CompositeUnavailable, InferredIntervalUnavailable, IntradayUnavailable, LastBarInaccurate, MethodUnavailable, PricesUnavailable
-from tradespan.functions.interval import BaseIntervals, Interval, most_common
+from tradespan.functions.interval import BaseIntervals, Interval, is_date, most_common
 from tradespan.operators import point
 from tradespan.operators.resample import downsample_daily, forced_bars, resample_open, resample_open_of, resample_workback
 from tradespan.operators.table import PriceTable
 from tradespan.plans.period import Limits, Period, Range, daily_range, intraday_range
-from tradespan.plans.trading_calendar import TradingCalendar
+from tradespan.plans.trading_calendar import TradingCalendar, joint_conflict
 
 
 @dataclass(frozen=True)
@@ -92,18 +93,28 @@ class PriceCatalog:
         s = self.sources[interval]
         return Limits(s.left, s.right, self.now, min(self.delays.values(), default=dt.timedelta(0)))
 
+    def with_calendar(self, df: DataFrame) -> DataFrame:
+        """``df`` with the calendar of each symbol, joined from the table of symbols."""
+        rows = self.sessions.sparkSession.createDataFrame(sorted(self.symbols.items()), "symbol string, calendar string")
+        return df.drop("calendar").join(rows, "symbol")
+
     # choice of the base interval
 
     def valid(self, interval: Interval | None) -> list[Interval]:
         """Intraday base intervals of which bars of ``interval`` can be made without conflicts in any calendar."""
         return [b for b in self.base_intervals.intraday if (interval is None or b.is_factor_of(interval)) and all(c.aligned(b) for c in self.calendars.values())]
 
+    def without_partial(self, intervals: list[Interval], r: Range) -> list[Interval]:
+        """Those of ``intervals`` whose bars pass no close of any calendar within a range."""
+        return [b for b in intervals if all(c.whole(b, r.start, r.end) for c in self.calendars.values())]
+
     def choose(self, period: Period, interval: Interval | None, anchor: str = "open", priority: str = "end", strict: bool = True) -> tuple[Interval, Range]:
         """The base interval for a period, and the range to read.
 
         Of those that hold the whole period: the ones whose last bar is most
-        accurate if ``priority`` is "end", then those that need not ignore a
-        break, then stored ones, then the longest.
+        accurate if ``priority`` is "end", then (to count back) those without
+        partial bars, then those that need not ignore a break, then stored
+        ones, then the longest.
         """
         ranges: dict[Interval, Range] = {}
         failed: PricesUnavailable | None = None
@@ -127,6 +138,8 @@ class PriceCatalog:
             if strict and not set(accurate) & set(whole):
                 raise LastBarInaccurate(f"only {accurate} reach {top}, and they do not hold the whole period")
             best = accurate
+        if anchor == "workback":
+            best = [b for b in best if self.without_partial([b], ranges[b])] or best
         kept = [b for b in best if self.lead_calendar.break_in_phase(b)] or best
         stored = [b for b in kept if self.sources[b].stored] if interval is not None else []
         chosen = max(stored or kept)
@@ -134,20 +147,26 @@ class PriceCatalog:
 
     # tables
 
-    def intraday(self, period: Period, interval: Interval | None, anchor: str, priority: str, strict: bool, force: bool) -> DataFrame:
+    def intraday(self, period: Period, interval: Interval | None, anchor: str, priority: str, strict: bool, force: bool, openend: str = "maintain") -> DataFrame:
+        if openend not in ("maintain", "shorten"):
+            raise ValueError(openend)
         base, r = self.choose(period, interval, anchor, priority, strict)
         source = self.sources[base].df.where((F.col("bar_left") >= F.lit(r.start).cast("timestamp_ntz")) & (F.col("bar_right") <= F.lit(r.end).cast("timestamp_ntz")))
         if interval is None or interval == base:
             made = source
         elif anchor == "workback":
             made = resample_workback(source.withColumn("_all", F.lit(0)), interval.minutes // base.minutes, "_all")
-        elif all(c.aligned(interval) for c in self.calendars.values()) and len(self.calendars) == 1:
+        elif all(c.aligned(interval) for c in self.calendars.values()) and not joint_conflict(self.calendars.values(), interval, r.start, r.end):
+            # every symbol from the opens of its own calendar; together they are one index
             made = resample_open(source, self.sessions, interval.micros, ignore_breaks=not self.lead_calendar.break_in_phase(base))
         else:
             made = resample_open_of(source, self.sessions, self.lead_calendar.name, interval.micros)
+        if openend == "shorten" and r.end > r.accuracy:
+            # a last bar that passes an unaligned close ends with it
+            close = F.lit(r.accuracy).cast("timestamp_ntz")
+            made = made.withColumn("bar_right", F.when((F.col("bar_left") < close) & (F.col("bar_right") > close), close).otherwise(F.col("bar_right")))
         if force:
-            calendar = F.create_map(*(F.lit(x) for pair in self.symbols.items() for x in pair))
-            made = forced_bars(made.drop("calendar", "session").withColumn("calendar", calendar[F.col("symbol")]), self.sessions)
+            made = forced_bars(self.with_calendar(made.drop("session")), self.sessions)
         return made.select("symbol", "bar_left", "bar_right", "open", "high", "low", "close", "volume")
 
     def daily(self, period: Period, interval: Interval, strict: bool) -> DataFrame:
@@ -176,14 +195,30 @@ class PriceCatalog:
         close_only: bool = False,
         data_for_all_start: bool = False,
         data_for_all_end: bool = False,
+        lose_single_symbol: bool = False,
+        openend: str = "maintain",
+        tzin: str | None = None,
+        lead_symbol: str | None = None,
         **period,
     ) -> DataFrame:
         """Bars over a period at an interval; without one, it is inferred from the period.
 
-        ``period`` has start, end, minutes, hours, days, weeks, months, years,
+        ``openend`` says whether a last bar that passes an unaligned close keeps
+        its length ("maintain") or ends with the close ("shorten"). Times of the
+        period without zone are of ``tzin``, by default UTC. ``lead_symbol``
+        gives the calendar that the period is resolved on. ``period`` has start, end, minutes, hours, days, weeks, months, years,
         add_a_row. ``composite`` allows a table of long bars followed by short
         ones, or of daily bars followed by intraday ones, where none serves alone.
         """
+        if lead_symbol is not None and lead_symbol != self.lead_symbol:
+            if lead_symbol not in self.symbols:
+                raise ValueError(f"{lead_symbol} is no symbol of this catalog")
+            options = {k: v for k, v in locals().items() if k not in ("self", "period", "lead_symbol")}
+            return replace(self, lead_symbol=lead_symbol).get(**options, **period)
+        if tzin is not None:
+            zone = ZoneInfo(tzin)
+            local = lambda ts: ts.replace(tzinfo=zone) if isinstance(ts, dt.datetime) and ts.tzinfo is None and not is_date(ts) else ts
+            period |= {k: local(period[k]) for k in ("start", "end") if k in period}
         p = Period(**period)
         wanted = Interval.parse(interval) if interval is not None else None
         kind = "intraday"
@@ -197,7 +232,7 @@ class PriceCatalog:
             df, kind = self.daily(p, Interval("D", 1), strict), "daily"
         else:
             try:
-                df = self.intraday(p, wanted, anchor, priority, strict, force)
+                df = self.intraday(p, wanted, anchor, priority, strict, force, openend)
             except PricesUnavailable as e:
                 if composite:
                     df, kind = self.composite(p, wanted), "composite"
@@ -208,7 +243,7 @@ class PriceCatalog:
                 else:
                     df, kind = self.daily(p, Interval("D", 1), strict), "daily"
         table = PriceTable(df, kind)
-        return table.operate(tzout, fill, include, exclude, data_for_all_start, data_for_all_end, side, close_only, list(self.symbols))
+        return table.operate(tzout, fill, include, exclude, data_for_all_start, data_for_all_end, side, close_only, list(self.symbols), lose_single_symbol)
 
     def composite(self, p: Period, interval: Interval | None) -> DataFrame:
         """Bars of a longer base interval up to where a shorter one, more accurate at the end, takes over; else daily then intraday."""
@@ -232,16 +267,10 @@ class PriceCatalog:
         last = self.lead_calendar.minute_to_session(ranges[fine].start).date
         before = self.lead_calendar.session_offset(last, -1).date
         rows = self.sources[daily].df.where((F.col("session") >= F.lit(r.start)) & (F.col("session") <= F.lit(before)))
-        calendar = F.create_map(*(F.lit(x) for pair in self.symbols.items() for x in pair))
-        return point.daily_then_intraday(rows, cut(fine).withColumn("calendar", calendar[F.col("symbol")]), self.sessions, before)
+        return point.daily_then_intraday(rows, self.with_calendar(cut(fine)), self.sessions, before)
 
     # point queries
 
-    def _finest(self) -> DataFrame:
-        if not self.base_intervals.intraday:
-            raise MethodUnavailable("there is no intraday source")
-        return self.sources[self.base_intervals.intraday[0]].df
-
     def _daily(self) -> DataFrame:
         if self.base_intervals.daily is None:
             raise MethodUnavailable("there is no daily source")

@@ -178,9 +178,19 @@ class TradingCalendar:
         n = -(-((b - a) // MIN) // interval.minutes)
         return [(a + i * interval.length, a + (i + 1) * interval.length) for i in range(n)]
 
+    def whole(self, interval: Interval, start: dt.datetime, end: dt.datetime) -> bool:
+        """Whether bars of ``interval`` fill every part that trades between ``start`` and ``end`` without passing its close."""
+        return all((b - a) % interval.length == dt.timedelta(0) for a, b in self.parts if a < end and b > start)
+
     def aligned(self, interval: Interval) -> bool:
         """Whether no bar reaches into the next part."""
         return all(a + -(-((b - a) // MIN) // interval.minutes) * interval.length <= nxt for (a, b), nxt in zip(self.parts, self.opens[1:]))
 
     def break_in_phase(self, interval: Interval) -> bool:
         return all((s.break_end - s.open) % interval.length == dt.timedelta(0) for s in self.sessions if s.break_end is not None)
+
+
+def joint_conflict(calendars: Iterable[TradingCalendar], interval: Interval, start: dt.datetime, end: dt.datetime) -> bool:
+    """Whether bars of ``interval``, each calendar's from its own opens, overlap between calendars within [start, end)."""
+    bars = sorted({bar for c in calendars for part in c.parts if part[0] < end and part[1] > start for bar in c.bars_of(part, interval)})
+    return any(right > after for (_, right), (after, _) in zip(bars, bars[1:]))

@@ -12,20 +12,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines of the session share: that of ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir`` so that it outlives any
-    executor. Only where a session names none (tests, local runs) a folder
-    of its own is set.
+    Only where a local session names none (tests, local runs) is it a folder of its own.
     """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        shared = os.path.join(tempfile.gettempdir(), "tradespan-checkpoints")
+    return shared
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder of the session, so that it outlives any executor."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-            shared = os.path.join(tempfile.gettempdir(), "tradespan-checkpoints")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

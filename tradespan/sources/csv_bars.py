@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tradespan.errors import DuplicateFile, ExportUnavailable, NoData
 from tradespan.functions.bars import FIELDS, PRICES, congruent
 from tradespan.functions.interval import Interval
-from tradespan.functions.times import micros_between
+from tradespan.operators.schema_drift import bare, raw_cells
 
 #: Units in file names.
 UNITS = ("MIN", "T", "H", "D")
@@ -110,23 +110,28 @@ def complete_intervals(files: dict[Interval, dict[str, str]], symbols: Sequence[
 def scan(spark: SparkSession, paths: dict[str, str], interval: Interval) -> DataFrame:
     """Rows of the files of one interval: path, symbol, date, prices and volume, typed by name whatever their order or case.
 
-    A file without volume has nulls for it. Rows without any value are dropped.
-    Times with an offset become UTC, those without are UTC.
+    One scan of lines for all files, however many: a line with a cell ``date``
+    is a header, and of several in a file the least counts. A file without
+    volume has nulls for it. Rows without any value are dropped. Times with an
+    offset become UTC, those without are UTC.
     """
-    scans = None
-    for symbol, path in paths.items():
-        raw = spark.read.csv(path, header=True, mode="PERMISSIVE")
-        named = {c.strip().lower().lstrip("﻿"): c for c in raw.columns}
-        pick = lambda n: F.col(f"`{named[n]}`") if n in named else F.lit(None).cast("string")  # noqa: B023, E731
-        text = F.trim(pick("date"))
-        zoned = text.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$") & (F.length(text) > 10)
-        stamp = F.when(zoned, F.to_utc_timestamp(text.try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")).otherwise(text.try_cast("timestamp_ntz"))
-        rows = raw.select(F.lit(path).alias("path"), F.lit(symbol).alias("symbol"), stamp.alias("date"), text.alias("date_text"), *(F.trim(pick(f)).try_cast("double").alias(f) for f in FIELDS))
-        rows = rows.dropna("all", subset=list(FIELDS))
-        scans = rows if scans is None else scans.unionByName(rows)
-    if scans is None:
+    if not paths:
         raise NoData(f"no file holds bars of {interval}")
-    return scans
+    named = {f"file:{os.path.abspath(p)}": (p, s) for s, p in paths.items()}
+    lines = spark.read.text(list(paths.values())).select(F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^file:/+", "file:/").alias("uri"), "value").where(F.trim("value") != "")
+    known = spark.createDataFrame([(uri, path, symbol) for uri, (path, symbol) in named.items()], "uri string, path string, symbol string")
+    cells = F.transform(raw_cells(F.rtrim(F.col("value"), F.lit("\r"))), lambda c: bare(c))
+    lines = lines.withColumn("cells", cells)
+    header = F.exists("cells", lambda c: F.lower(c) == "date")
+    heads = lines.where(header).groupBy("uri").agg(F.min("value").alias("_head"))
+    heads = heads.select("uri", F.transform(raw_cells(F.rtrim(F.col("_head"), F.lit("\r"))), lambda c: F.lower(bare(c))).alias("names"))
+    rows = lines.where(~header).join(heads, "uri").join(known, "uri")
+    pick = lambda n: F.when(F.array_contains("names", n), F.get("cells", (F.array_position("names", n) - 1).cast("int")))
+    text = F.nullif(pick("date"), F.lit(""))
+    zoned = text.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$") & (F.length(text) > 10)
+    stamp = F.when(zoned, F.to_utc_timestamp(text.try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")).otherwise(text.try_cast("timestamp_ntz"))
+    rows = rows.select("path", "symbol", stamp.alias("date"), text.alias("date_text"), *(F.nullif(pick(f), F.lit("")).try_cast("double").alias(f) for f in FIELDS))
+    return rows.dropna("all", subset=list(FIELDS))
 
 
 def file_report(rows: DataFrame, interval: Interval, most_incongruent: float = 0.08) -> DataFrame:
@@ -177,7 +182,9 @@ def bars_from_files(spark: SparkSession, root: str | Path, symbols: Sequence[str
         report = faults if report is None else report.unionByName(faults)
         if faults.where(F.col("code") != "duplicates").limit(1).count():
             continue
-        once = rows.groupBy("symbol", "date").agg(*(F.first(f, ignorenulls=True).alias(f) for f in FIELDS))
+        # of rows of one time the one with most fields, of these the greatest; a row's fields stay together
+        full = sum((F.col(f).isNotNull().cast("int") for f in FIELDS), F.lit(0))
+        once = rows.groupBy("symbol", "date").agg(F.max_by(F.struct(*FIELDS), F.struct(full.alias("full"), *FIELDS)).alias("row")).select("symbol", "date", "row.*")
         if interval.is_daily:
             bars = once.select("symbol", F.to_date("date").alias("session"), *FIELDS)
         else:
@@ -229,6 +236,3 @@ def limits(bars: DataFrame, interval: Interval) -> tuple[dt.datetime, dt.datetim
     row = bars.agg(F.min(ts).alias("a"), F.max(ts).alias("b")).first()
     return row.a, row.b + interval.length
 
-
-def length_minutes():
-    return micros_between("bar_left", "bar_right")

@@ -42,17 +42,30 @@ def without_live_row(bars: DataFrame, interval_minutes: int) -> DataFrame:
 
 
 def upsert_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps one row per (symbol, bar_left) in a parquet table of versions.
+    """A foreachBatch sink that keeps one row per (symbol, bar_left) in a parquet table by day.
 
-    Each batch writes version ``batch`` from the one before, so a batch that
-    runs twice after a failure writes the same again.
+    A batch rewrites only the days it touches: their new rows are laid beside
+    the table first, then put in their place, so nothing is read from where it
+    is written, and a batch that runs twice gives the same.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch
-        if batch_id:
-            fresh = upserted(spark.read.parquet(f"{path}/v={batch_id - 1}"), batch)
-        fresh.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        fresh = batch.withColumn("day", F.to_date("bar_left"))
+        jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+        held = jvm.Path(f"{path}/bars")
+        if held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(held):
+            table = spark.read.schema(fresh.schema).parquet(f"{path}/bars")
+            days = fresh.select("day").distinct()
+            touched = table.join(days, "day", "left_semi")
+            fresh = upserted(touched, fresh.select(*touched.columns))
+        fresh.write.mode("overwrite").partitionBy("day").parquet(f"{path}/next")
+        made = spark.read.schema(fresh.schema).parquet(f"{path}/next")
+        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{path}/bars")
 
     return write
+
+
+def live_table(spark, path: str) -> DataFrame:
+    """The table that ``upsert_sink`` keeps."""
+    return spark.read.parquet(f"{path}/bars").drop("day")
