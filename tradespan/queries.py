@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tradespan.operators.regular_grid import regular_grid
 from tradespan.operators.rolling import rolling_totals
-from tradespan.operators.schema_drift import compare_files, consistent, consistent_table, schema_changes
+from tradespan.operators.schema_drift import ROLES, compare_files, consistent, consistent_table, schema_changes
 from tradespan.operators.spikes import implausible_values
 from tradespan.session import table
 from tradespan.sources.record_parser import failed_records, recovered_records, valid_records
@@ -130,7 +130,92 @@ bound AS (
 )
 """
 
+_ROLE_NAMES = ", ".join(f"('{role}', '{name}')" for role, names in ROLES.items() for name in names)
+_DAY = r"""CASE WHEN regexp_full_match(cell, '\d{4}-\d\d-\d\d([ T]\d\d:\d\d(:\d\d)?)?') THEN try_cast(cell[1:10] AS DATE)
+  WHEN regexp_full_match(cell, '(19|20)\d{6}') THEN try_cast(cell[1:4] || '-' || cell[5:6] || '-' || cell[7:8] AS DATE)
+  WHEN regexp_full_match(cell, '\d{1,2}/\d{1,2}/\d{4}') THEN CAST(CASE WHEN day_first THEN try_strptime(cell, '%d/%m/%Y') ELSE try_strptime(cell, '%m/%d/%Y') END AS DATE) END"""
+#: Cells, types, days and figures of every file, read as the rules say; columns of a file are told by their position.
+_VENDOR = rf"""
+raw AS (
+  SELECT file_id, line_no, list_transform(regexp_extract_all(replace(line, chr(65279), '') || ',', '("([^"]|"")*"|[^",]*),', 1),
+    lambda x: trim(CASE WHEN trim(x) LIKE '"%' THEN replace(trim(x)[2:-2], '""', '"') ELSE trim(x) END)) AS c FROM vendor_lines
+),
+heads AS (SELECT file_id, list_transform(c, lambda x: lower(x)) AS names FROM raw WHERE line_no = 1),
+cells AS (SELECT file_id, line_no, u.i AS pos, c[u.i] AS cell FROM raw, LATERAL (SELECT unnest(generate_series(1, len(c))) AS i) u WHERE line_no > 1),
+cols AS (SELECT h.file_id, p.pos, h.names[p.pos] AS name FROM heads h, LATERAL (SELECT unnest(generate_series(1, len(h.names))) AS pos) p),
+counts AS (
+  SELECT file_id, pos, count(*) AS n, count(*) FILTER (regexp_full_match(cell, '-?\d+')) AS ints, count(*) FILTER (regexp_full_match(cell, '-?(\d+(\.\d*)?|\.\d+)')) AS doubles,
+    count(*) FILTER (regexp_full_match(cell, '\d{{4}}-\d\d-\d\d')) AS dates, count(*) FILTER (regexp_full_match(cell, '\d{{4}}-\d\d-\d\d \d\d:\d\d:\d\d')) AS stamps,
+    count(*) FILTER (regexp_full_match(cell, '\d{{1,2}}/\d{{1,2}}/\d{{4}}') OR ({_DAY.replace("day_first", "false")}) IS NOT NULL) AS days,
+    bool_or(cell LIKE '%/%' AND try_cast(split_part(cell, '/', 1) AS INTEGER) > 12) AS df, bool_or(cell LIKE '%/%' AND try_cast(split_part(cell, '/', 2) AS INTEGER) > 12) AS mf
+  FROM cells WHERE cell <> '' GROUP BY ALL
+),
+typed AS (
+  SELECT c.*, CASE WHEN k.n = ints THEN 'bigint' WHEN k.n = doubles THEN 'double' WHEN k.n = dates THEN 'date' WHEN k.n = stamps THEN 'timestamp' WHEN k.n > 0 THEN 'string' END AS type,
+    coalesce(k.n = k.days, false) AS dated, coalesce(df, false) AS df, coalesce(mf, false) AS mf
+  FROM cols c LEFT JOIN counts k USING (file_id, pos)
+),
+dated AS (SELECT file_id, min(pos) AS pos, arg_min(df, pos) AS df, arg_min(mf, pos) AS mf FROM typed WHERE dated GROUP BY file_id),
+feed AS (
+  SELECT f.file_id, vendor, symbol, received_at, lag(f.file_id) OVER (PARTITION BY vendor, symbol ORDER BY received_at, f.file_id) AS previous_id, d.pos AS date_pos,
+    d.df OR (NOT d.mf AND coalesce(bool_or(d.df) OVER (PARTITION BY vendor, symbol), false) AND NOT coalesce(bool_or(d.mf) OVER (PARTITION BY vendor, symbol), false)) AS day_first
+  FROM vendor_files f LEFT JOIN dated d USING (file_id)
+),
+days AS (SELECT file_id, line_no, {_DAY} AS day FROM cells c JOIN feed f USING (file_id) WHERE c.pos = f.date_pos),
+figures AS (
+  SELECT file_id, line_no, pos, cell, try_cast(replace(d, ',', '') AS DOUBLE) * s AS value, CASE WHEN s > 1 THEN s * pow(10.0, -len(regexp_extract(d, '\.(\d*)$', 1))) * 0.5000001 ELSE 0 END AS tol
+  FROM (SELECT *, CASE upper(regexp_extract(cell, '([A-Za-z]*)$', 1)) WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 WHEN 'B' THEN 1e9 ELSE 1 END AS s,
+    regexp_extract(cell, '^(?:[A-Za-z]{{3}}\s+)?[$€£]?([+-]?\d[\d,]*(?:\.\d*)?|[+-]?\.\d+)\s*(?:%|[A-Za-z]{{1,3}})?$', 1) AS d FROM cells)
+)"""
+_CHANGES = f"""
+WITH {_VENDOR},
+pairs AS (SELECT file_id, previous_id FROM feed WHERE previous_id IS NOT NULL AND file_id IN (SELECT file_id FROM heads) AND previous_id IN (SELECT file_id FROM heads)),
+fresh AS (SELECT p.*, t.pos, t.name, t.type FROM pairs p JOIN typed t USING (file_id) WHERE NOT EXISTS (SELECT 1 FROM cols o WHERE o.file_id = p.previous_id AND o.name = t.name)),
+gone AS (SELECT p.*, t.pos, t.name, t.type FROM pairs p JOIN typed t ON t.file_id = p.previous_id WHERE NOT EXISTS (SELECT 1 FROM cols o WHERE o.file_id = p.file_id AND o.name = t.name)),
+new_rows AS (SELECT f.file_id, f.pos, d.day, lower(g.cell) AS cell, g.value, g.tol, f.pos = e.date_pos AS is_date FROM fresh f JOIN feed e USING (file_id) JOIN days d USING (file_id) JOIN figures g ON g.file_id = f.file_id AND g.line_no = d.line_no AND g.pos = f.pos WHERE d.day IS NOT NULL),
+old_rows AS (SELECT f.file_id, f.pos, d.day, lower(g.cell) AS cell, g.value, g.tol, f.pos = e.date_pos AS is_date FROM gone f JOIN feed e ON e.file_id = f.previous_id JOIN days d ON d.file_id = f.previous_id JOIN figures g ON g.file_id = f.previous_id AND g.line_no = d.line_no AND g.pos = f.pos WHERE d.day IS NOT NULL),
+shares AS (
+  SELECT n.file_id, n.pos AS new_pos, o.pos AS old_pos, avg(CAST(CASE WHEN n.is_date OR o.is_date THEN n.is_date AND o.is_date
+    ELSE coalesce(abs(n.value - o.value) <= greatest(n.tol, o.tol) + abs(n.value) * 1e-9, n.cell = o.cell) END AS INTEGER)) AS share
+  FROM new_rows n JOIN old_rows o USING (file_id, day) WHERE n.cell <> '' OR o.cell <> '' GROUP BY ALL
+),
+renamed AS (
+  SELECT * FROM shares WHERE share >= 0.9
+  QUALIFY row_number() OVER (PARTITION BY file_id, new_pos ORDER BY share DESC, old_pos) = 1 AND row_number() OVER (PARTITION BY file_id, old_pos ORDER BY share DESC, new_pos) = 1
+),
+alike AS (
+  SELECT f.file_id, f.previous_id, f.name, o.name AS old_name, f.type, o.type AS old_type, true AS renamed FROM renamed r JOIN fresh f ON f.file_id = r.file_id AND f.pos = r.new_pos JOIN gone o ON o.file_id = r.file_id AND o.pos = r.old_pos
+  UNION ALL SELECT p.file_id, p.previous_id, t.name, o.name, t.type, o.type, false FROM pairs p JOIN typed t USING (file_id) JOIN typed o ON o.file_id = p.previous_id AND o.name = t.name
+),
+changes AS (
+  SELECT file_id, previous_id, 'added' AS change, name AS field, NULL AS old_field, NULL AS old_type, type AS new_type FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.file_id = f.file_id AND r.new_pos = f.pos)
+  UNION ALL SELECT file_id, previous_id, 'removed', name, name, type, NULL FROM gone f WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.file_id = f.file_id AND r.old_pos = f.pos)
+  UNION ALL SELECT file_id, previous_id, 'renamed', name, old_name, old_type, type FROM alike WHERE renamed
+  UNION ALL SELECT file_id, previous_id, 'retyped', name, old_name, old_type, type FROM alike WHERE type <> old_type
+)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "p4_found": _CHANGES + " SELECT file_id, field, change FROM changes",
+    "p4_table": f"""
+WITH {_VENDOR}, roles(role, name) AS (VALUES {_ROLE_NAMES}),
+placed AS (SELECT c.file_id, r.role, min(c.pos) AS pos FROM cols c JOIN roles r USING (name) WHERE r.role <> 'date' GROUP BY ALL),
+long AS (
+  SELECT f.vendor, f.symbol, d.day AS date, p.role, g.value, g.tol, f.received_at, f.file_id
+  FROM feed f JOIN days d USING (file_id) JOIN placed p USING (file_id) JOIN figures g ON g.file_id = f.file_id AND g.line_no = d.line_no AND g.pos = p.pos WHERE d.day IS NOT NULL
+),
+best AS (SELECT vendor, symbol, date, role, arg_max(value, (-tol, received_at, file_id)) FILTER (value IS NOT NULL) AS value FROM long GROUP BY ALL),
+all_days AS (SELECT DISTINCT vendor, symbol, day AS date FROM feed JOIN days USING (file_id) WHERE day IS NOT NULL)
+SELECT a.vendor, a.symbol, a.date, max(value) FILTER (role = 'open') AS open, max(value) FILTER (role = 'high') AS high, max(value) FILTER (role = 'low') AS low, max(value) FILTER (role = 'close') AS close, max(value) FILTER (role = 'volume') AS volume
+FROM all_days a LEFT JOIN best b USING (vendor, symbol, date) GROUP BY ALL
+""",
+    "p4_unplaced": f"""
+WITH {_VENDOR}, roles(role, name) AS (VALUES {_ROLE_NAMES})
+SELECT c.file_id, c.name AS field FROM cols c JOIN feed f USING (file_id) WHERE c.name NOT IN (SELECT name FROM roles) AND c.pos IS DISTINCT FROM f.date_pos
+""",
+    "p4_unread": f"""
+WITH {_VENDOR}
+SELECT c.file_id, c.line_no, c.cell FROM cells c JOIN feed f ON f.file_id = c.file_id AND f.date_pos = c.pos JOIN days d ON d.file_id = c.file_id AND d.line_no = c.line_no WHERE d.day IS NULL
+""",
     "p1_bounds": f"WITH {_BOUND} SELECT * FROM bound",
     "p1_stuck": f"""
 WITH {_BOUND},
