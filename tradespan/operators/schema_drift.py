@@ -45,19 +45,19 @@ def bare(cell: Column) -> Column:
     return F.trim(F.when(quoted, F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))).otherwise(cell))
 
 
-def number(cell: Column) -> Column:
-    """struct(value, tol): the figure a cell gives, whatever the way of writing; tol is half the last digit of abbreviated figures."""
-    plain = F.translate(cell, "0123456789.-", "") == ""
-    digits = F.replace(F.regexp_extract(cell, NUMBER, 1), F.lit(","), F.lit(""))
-    unit = F.upper(F.regexp_extract(cell, NUMBER, 2))
+def number_parts(cell: Column) -> Column:
+    """struct(plain, digits, unit): the pieces of a figure, each cut out once. ``plain`` is set for figures of digits alone."""
+    plain = F.when(F.translate(cell, "0123456789.-", "") == "", cell)
+    return F.struct(plain.alias("plain"), F.when(plain.isNull(), F.regexp_extract(cell, NUMBER, 1)).alias("digits"), F.when(plain.isNull(), F.upper(F.regexp_extract(cell, NUMBER, 2))).alias("unit"))
+
+
+def number(parts: Column) -> Column:
+    """struct(value, tol) of ``number_parts``: the figure a cell gives, whatever the way of writing; tol is half the last digit of abbreviated figures."""
+    unit, digits = parts["unit"], F.replace(parts["digits"], F.lit(","), F.lit(""))
     scale = F.when(unit == "K", 1e3).when(unit == "M", 1e6).when(unit == "B", 1e9).otherwise(1.0)
-    decimals = F.length(F.regexp_extract(digits, r"\.([0-9]*)$", 1))
-    return F.when(plain, F.struct(cell.try_cast("double").alias("value"), F.lit(0.0).alias("tol"))).otherwise(
-        F.struct(
-            (digits.try_cast("double") * scale).alias("value"),
-            F.when(scale > 1, scale * F.pow(F.lit(10.0), -decimals) * 0.5000001).otherwise(0.0).alias("tol"),
-        )
-    )
+    decimals = F.length(F.substring_index(digits, ".", -1))
+    tol = F.when(unit.isin("K", "M", "B"), scale * F.pow(F.lit(10.0), F.when(digits.contains("."), -decimals).otherwise(0)) * 0.5000001).otherwise(0.0)
+    return F.struct(F.coalesce(parts["plain"].try_cast("double"), digits.try_cast("double") * scale).alias("value"), tol.alias("tol"))
 
 
 def calendar_day(cell: Column, day_first: Column) -> Column:
@@ -185,12 +185,14 @@ def agreement(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     need = open_pairs.select("file_id", F.explode(F.array(side(True, "file_id", "new_date", "new_only"), side(False, "previous_id", "old_date", "old_only"))).alias("s")).select("file_id", "s.*")
     data = lines.where(F.col("line_no") > 1).select(F.col("file_id").alias("of"), "line").join(need, "of").withColumn("cells", raw_cells(F.col("line")))
 
-    def value(pos: Column) -> Column:
-        cell = F.coalesce(bare(F.get("cells", pos)), F.lit(""))
-        return F.struct(pos.alias("pos"), (pos == F.col("date.pos")).alias("is_date"), F.lower(cell).alias("text"), number(cell).alias("num"))
-
-    day = calendar_day(bare(F.get("cells", F.col("date.pos"))), F.col("date.day_first"))
-    data = data.select("file_id", "new", day.alias("day"), F.transform("only", value).alias("values")).where(F.col("day").isNotNull())
+    # every cell is bared once, before anything is asked of it
+    raw = F.transform("only", lambda p: F.coalesce(F.get("cells", p), F.lit("")))
+    data = data.withColumns({"date_cell": F.get("cells", F.col("date.pos")), "raw": raw}).drop("cells")
+    data = data.withColumns({"date_cell": bare(F.col("date_cell")), "raw": F.transform("raw", lambda c: bare(c))})
+    data = data.withColumn("parts", F.transform("raw", lambda c: number_parts(c)))
+    value = lambda c, i: F.struct(F.get("only", i).alias("pos"), (F.get("only", i) == F.col("date.pos")).alias("is_date"), F.lower(c).alias("text"), number(F.get("parts", i)).alias("num"))
+    day = calendar_day(F.col("date_cell"), F.col("date.day_first"))
+    data = data.select("file_id", "new", day.alias("day"), F.transform("raw", value).alias("values")).where(F.col("day").isNotNull())
     days = data.groupBy("file_id", "day").agg(F.min(F.when(F.col("new"), F.col("values"))).alias("new"), F.min(F.when(~F.col("new"), F.col("values"))).alias("old"))
 
     def same(a: Column, b: Column) -> Column:
@@ -352,16 +354,19 @@ def consistent(files: DataFrame, lines: DataFrame, roles: Mapping[str, tuple[str
     placed = projections(pairs, edits_of(pairs, lines, kept=True), roles)
     at = placed.groupBy("file_id").agg(*(F.min(F.when(F.col("role") == r, F.col("pos"))).alias(f"{r}_at") for r in roles), F.collect_list(F.when(F.col("role").isNull(), F.col("name"))).alias("unplaced"))
     projection = checkpointed(pairs.select("file_id", "vendor", "symbol", "received_at", F.coalesce("new_date.day_first", F.lit(False)).alias("day_first")).join(at, "file_id"))
-    pick = lambda r: F.coalesce(bare(F.get("cells", F.col(f"{r}_at"))), F.lit(""))
     figures = [r for r in roles if r != "date"]
     rows = lines.where((F.col("line_no") > 1) & (F.trim("line") != "")).join(projection, "file_id").withColumn("cells", raw_cells(F.col("line")))
-    rows = rows.withColumn("date", calendar_day(pick("date"), F.col("day_first")))
-    read = rows.where(F.col("date").isNotNull()).select("vendor", "symbol", "date", "received_at", "file_id", *(number(pick(r)).alias(r) for r in figures))
+    # every cell is taken and bared once, before anything is asked of it
+    rows = rows.withColumns({f"{r}_cell": F.coalesce(F.get("cells", F.col(f"{r}_at")), F.lit("")) for r in roles}).drop("cells", "line")
+    rows = rows.withColumns({f"{r}_cell": bare(F.col(f"{r}_cell")) for r in roles})
+    rows = rows.withColumn("date", calendar_day(F.col("date_cell"), F.col("day_first")))
+    read = rows.where(F.col("date").isNotNull()).select("vendor", "symbol", "date", "received_at", "file_id", *(number_parts(F.col(f"{r}_cell")).alias(r) for r in figures))
+    read = read.withColumns({r: number(F.col(r)) for r in figures})
     exact_last = lambda r: F.when(F.col(f"{r}.value").isNotNull(), F.struct((-F.col(f"{r}.tol")).alias("exact"), F.col("received_at"), F.col("file_id")))
     return ConsistentTable(
         read.groupBy("vendor", "symbol", "date").agg(*(F.max_by(f"{r}.value", exact_last(r)).alias(r) for r in figures)),
         projection.select("file_id", F.explode("unplaced").alias("field")),
-        rows.where(F.col("date").isNull()).select("file_id", "line_no", pick("date").alias("cell")),
+        rows.where(F.col("date").isNull()).select("file_id", "line_no", F.col("date_cell").alias("cell")),
     )
 
 
