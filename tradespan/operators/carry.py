@@ -29,8 +29,10 @@ def carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Co
         near = F.last(value, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, -1 if strict else 0))
         far = F.last("_edge", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
     else:
-        near = F.first(value, ignorenulls=True).over(inner.rowsBetween(1 if strict else 0, Window.unboundedFollowing))
-        far = F.first("_edge", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing))
+        # the next value is the last one in falling order: a frame that only grows is read once
+        falling = Window.partitionBy(*keys, "_b").orderBy(*(F.desc(c) for c in order))
+        near = F.last(value, ignorenulls=True).over(falling.rowsBetween(Window.unboundedPreceding, -1 if strict else 0))
+        far = F.last("_edge", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1))
     buckets = buckets.withColumn("_far", far).drop("_edge")
     hit = None
     for k in [*keys, "_b"]:

@@ -41,13 +41,15 @@ def fill_in_session(df: DataFrame, key: str = "symbol", ts: str = "bar_left", se
     """
     inside = Window.partitionBy(key, session).orderBy(ts)
     before = F.last("close", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("open", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
+    # the next open is the last one in falling order: a frame that only grows is read once
+    falling = Window.partitionBy(key, session).orderBy(F.desc(ts)).rowsBetween(Window.unboundedPreceding, 0)
+    after = F.last("open", ignorenulls=True).over(falling)
     ends = df.groupBy(key, session).agg(
         F.max_by("close", F.when(F.col("close").isNotNull(), F.col(ts))).alias("_c"), F.min_by("open", F.when(F.col("open").isNotNull(), F.col(ts))).alias("_o")
     )
     across = Window.partitionBy(key).orderBy(session)
     ends = ends.withColumn("_prior", F.last("_c", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)))
-    ends = ends.withColumn("_next", F.first("_o", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))).drop("_c", "_o")
+    ends = ends.withColumn("_next", F.last("_o", ignorenulls=True).over(Window.partitionBy(key).orderBy(F.desc(session)).rowsBetween(Window.unboundedPreceding, -1))).drop("_c", "_o")
     out = df.withColumn("_in", F.coalesce(before, after)).join(ends, [key, session], "left")
     fill = F.coalesce("_in", "_prior", "_next")
     missing = F.col("close").isNull() & fill.isNotNull()
@@ -65,8 +67,9 @@ def fill_daily(df: DataFrame, after: dt.date | None = None, now: dt.datetime | N
     """
     w = Window.partitionBy(key).orderBy("session")
     before = F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    following = F.first("open", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    later = F.count("close").over(w.rowsBetween(1, Window.unboundedFollowing)) > 0
+    falling = Window.partitionBy(key).orderBy(F.desc("session"))
+    following = F.last("open", ignorenulls=True).over(falling.rowsBetween(Window.unboundedPreceding, 0))
+    later = F.count("close").over(falling.rowsBetween(Window.unboundedPreceding, -1)) > 0
     missing = F.col("close").isNull()
     if after is not None:
         missing &= F.col("session") > F.lit(after)

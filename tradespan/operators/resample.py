@@ -96,12 +96,26 @@ def daily_bars(bars: DataFrame, sessions: DataFrame) -> DataFrame:
     return with_part(bars, sessions, ignore_breaks=True).groupBy("symbol", "calendar", "session").agg(*ohlcv(("bar_left",)))
 
 
+def on_sessions(daily: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Daily rows (with calendar) brought to their calendar: those on a date without a session are folded into the session before.
+
+    Rows before the first session are left out.
+    """
+    limits = F.broadcast(daily.agg(F.max("session").alias("_last")))
+    spans = neighbours(sessions).select("calendar", F.col("session").alias("_s"), "next_session").crossJoin(limits)
+    until = F.greatest("_s", F.coalesce(F.date_sub("next_session", 1), F.col("_last")))
+    dates = spans.select("calendar", "_s", F.explode(F.sequence("_s", until)).alias("session"))
+    rows = daily.join(dates, ["calendar", "session"])
+    return rows.groupBy("symbol", "calendar", F.col("_s").alias("session")).agg(*ohlcv(("session",)))
+
+
 def n_session_bars(daily: DataFrame, sessions: DataFrame, n: int) -> DataFrame:
-    """Bars of ``n`` sessions; initial sessions of a calendar's table are dropped so that the last bar is whole.
+    """Bars of ``n`` sessions; rows on other dates count with the session before (``on_sessions``); initial sessions of a calendar's table are dropped so that the last bar is whole.
 
     ``bar_right`` is the session after the bar's last, or the day after it
     where the calendar ends.
     """
+    daily = on_sessions(daily, sessions)
     table = daily.groupBy("calendar").agg(F.min("session").alias("a"), F.max("session").alias("b"))
     own = sessions.select("calendar", "session", "ordinal").join(table, "calendar").where((F.col("session") >= F.col("a")) & (F.col("session") <= F.col("b")))
     counted = own.groupBy("calendar").agg(F.count(F.lit(1)).alias("all"), F.min("ordinal").alias("o"))
@@ -147,9 +161,16 @@ def n_month_bars(daily: DataFrame, sessions: DataFrame | None, n: int, drop_inco
 
 
 def forced_bars(bars: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Bars cut to the part of the session in which they begin."""
-    rows = with_part(bars, sessions)
-    return rows.withColumns({"bar_left": F.greatest("bar_left", "part_open"), "bar_right": F.least("bar_right", "part_close")}).select(*bars.columns)
+    """Bars cut to trading hours: a bar begins no earlier than the first part of a session it overlaps and ends no later than the last.
+
+    Bars outside of all trading hours are left out.
+    """
+    parts = by_date(session_parts(sessions), "part_open", "part_close").select(F.col("calendar").alias("_cal"), F.col("_on").alias("_day"), "part_open", "part_close")
+    index = by_date(bars.select("calendar", "bar_left", "bar_right").distinct(), "bar_left", "bar_right")
+    hit = (F.col("calendar") == F.col("_cal")) & (F.col("_on") == F.col("_day")) & (F.col("bar_left") < F.col("part_close")) & (F.col("bar_right") > F.col("part_open"))
+    met = index.join(parts, hit).groupBy("calendar", "bar_left", "bar_right").agg(F.min("part_open").alias("_a"), F.max("part_close").alias("_b"))
+    rows = bars.join(met, ["calendar", "bar_left", "bar_right"])
+    return rows.withColumns({"bar_left": F.greatest("bar_left", "_a"), "bar_right": F.least("bar_right", "_b")}).select(*bars.columns)
 
 
 def downsample(bars: DataFrame, sessions: DataFrame, interval: Interval | str, base: Interval | str, anchor: str = "workback", lead: str | None = None) -> DataFrame:

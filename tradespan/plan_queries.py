@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradespan.domain_queries import AT, CLEAN, DAILY, DAY, FROM, OUT, PARTS, TO, _LEAD_RANGE, catalog, clean, daily, sessions
+from tradespan.domain_queries import AT, CLEAN, DAILY, DAY, FROM, INDEX, OHLCV, OUT, PARTS, TO, _LEAD_RANGE, catalog, clean, daily, sessions
 from tradespan.errors import PricesUnavailable
 from tradespan.functions import intervalset as I
 from tradespan.functions.interval import Interval, frequency_parts, is_date, market_code, most_common, symbols_to_list
@@ -580,3 +580,55 @@ def csv_files_round_trip(spark, d):
     # fixtures hold spikes on purpose, so no file is turned away for them
     made, _ = bars_from_files(spark, folder, symbols, most_incongruent=1.0)
     return made[Interval("D", 1)]
+
+
+@query(f"""
+WITH {CLEAN}, {PARTS}, b AS (SELECT symbol, calendar, bar_left - INTERVAL 20 MINUTE AS l, bar_right - INTERVAL 20 MINUTE AS r, close FROM clean),
+m AS (SELECT b.calendar, b.l, b.r, min(p.o) AS a, max(p.c) AS z FROM (SELECT DISTINCT calendar, l, r FROM b) b JOIN parts p ON p.calendar = b.calendar AND b.l < p.c AND b.r > p.o GROUP BY ALL)
+SELECT b.symbol, greatest(b.l, m.a) AS bar_left, least(b.r, m.z) AS bar_right, b.close FROM b JOIN m USING (calendar, l, r)""")
+def force_shifted_bars(spark, d):
+    """Bars of all symbols 20 minutes early, so that the first of a session begin before it."""
+    early = F.expr("INTERVAL 20 MINUTES")
+    rows = clean(spark, d).withColumns({"bar_left": F.col("bar_left") - early, "bar_right": F.col("bar_right") - early})
+    return R.forced_bars(rows, sessions(spark, d)).select("symbol", "bar_left", "bar_right", "close")
+
+
+@query(f"""
+WITH {CLEAN}, days AS (SELECT symbol, CAST(bar_left AS DATE) AS session, {OHLCV} FROM clean GROUP BY ALL),
+x AS (SELECT *, (SELECT max(s.session) FROM sessions s WHERE s.calendar = 'NY' AND s.session <= days.session) AS s FROM days)
+SELECT symbol, 'NY' AS calendar, s AS session, arg_min(open, session) FILTER (open IS NOT NULL) AS open, max(high) AS high, min(low) AS low,
+  arg_max(close, session) FILTER (close IS NOT NULL) AS close, CASE WHEN count(close) > 0 THEN coalesce(sum(volume), 0) END AS volume FROM x WHERE s IS NOT NULL GROUP BY symbol, s""")
+def daily_on_other_calendar(spark, d):
+    """Bars of UTC days of all symbols on the sessions of New York: weekends and holidays count with the session before."""
+    from tradespan.functions.bars import ohlcv
+
+    days = clean(spark, d).groupBy("symbol", F.to_date("bar_left").alias("session")).agg(*ohlcv()).withColumn("calendar", F.lit("NY"))
+    return R.on_sessions(days, sessions(spark, d))
+
+
+_TIDY = f"""{CLEAN}, {PARTS}, {INDEX},
+own AS (SELECT c.* FROM clean c WHERE NOT EXISTS (SELECT 1 FROM parts p WHERE p.calendar = c.calendar AND c.bar_left >= p.o AND c.bar_left < p.c AND date_diff('second', p.o, c.bar_left) % 3600 <> 0)),
+spans AS (SELECT symbol, calendar, min(bar_left) AS a, max(bar_left) AS b FROM own JOIN idx USING (calendar, bar_left) GROUP BY ALL),
+full_table AS (
+  SELECT s.symbol, i.session, i.bar_left, i.bar_right, c.open, c.high, c.low, c.close, CASE WHEN c.close IS NOT NULL THEN coalesce(c.volume, 0) END AS volume
+  FROM spans s JOIN idx i ON i.calendar = s.calendar AND i.bar_left BETWEEN s.a AND s.b LEFT JOIN own c ON c.symbol = s.symbol AND c.bar_left = i.bar_left),
+f AS (
+  SELECT *, coalesce(last_value(close IGNORE NULLS) OVER (PARTITION BY symbol, session ORDER BY bar_left ROWS UNBOUNDED PRECEDING),
+    first_value(open IGNORE NULLS) OVER (PARTITION BY symbol, session ORDER BY bar_left ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+    last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_left ROWS UNBOUNDED PRECEDING),
+    first_value(open IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_left ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS x FROM full_table),
+g AS (SELECT symbol, session, bar_left, bar_right, CASE WHEN close IS NULL THEN x ELSE open END AS open, CASE WHEN close IS NULL THEN x ELSE high END AS high,
+  CASE WHEN close IS NULL THEN x ELSE low END AS low, coalesce(close, x) AS close, CASE WHEN x IS NOT NULL THEN coalesce(volume, 0) ELSE volume END AS volume FROM f)"""
+
+
+@query(f"""
+WITH {_TIDY}
+SELECT symbol, session, bar_left, bar_right, CASE WHEN open > high THEN high WHEN open < low THEN low ELSE open END AS open,
+  CASE WHEN close > high THEN close ELSE high END AS high, CASE WHEN close < low THEN close ELSE low END AS low, close, volume FROM g""")
+def tidied_feed(spark, d):
+    """Raw rows put through the whole chain, with rows of the moment among them: a copy of each row seven minutes later."""
+    from tradespan.sources.tidy import tidied
+
+    bars = table(spark, d, "bars")
+    live = bars.withColumns({"bar_left": F.col("bar_left") + F.expr("INTERVAL 7 MINUTES"), "row_id": -F.col("row_id")})
+    return tidied(bars.unionByName(live), table(spark, d, "symbols"), sessions(spark, d), 60)

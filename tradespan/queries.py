@@ -196,6 +196,15 @@ changes AS (
 
 ORACLE_SQL: dict[str, str] = {
     "p4_found": _CHANGES + " SELECT file_id, field, change FROM changes",
+    "p4_edit_scripts": _CHANGES
+    + """
+, places AS (
+  SELECT r.file_id, r.new_pos, r.old_pos FROM renamed r
+  UNION ALL SELECT p.file_id, t.pos, o.pos FROM pairs p JOIN cols t USING (file_id) JOIN cols o ON o.file_id = p.previous_id AND o.name = t.name
+)
+SELECT * FROM changes
+UNION ALL SELECT DISTINCT p.file_id, p.previous_id, 'reordered', NULL, '', NULL, NULL FROM pairs p JOIN places a USING (file_id) JOIN places b USING (file_id) WHERE a.new_pos < b.new_pos AND a.old_pos > b.old_pos
+""",
     "p4_table": f"""
 WITH {_VENDOR}, roles(role, name) AS (VALUES {_ROLE_NAMES}),
 placed AS (SELECT c.file_id, r.role, min(c.pos) AS pos FROM cols c JOIN roles r USING (name) WHERE r.role <> 'date' GROUP BY ALL),

@@ -31,16 +31,6 @@ def live_bars(ticks: DataFrame, minutes: int, delay_minutes: int = 15, margin_mi
     return made.select("symbol", F.col("w.start").cast("timestamp_ntz").alias("bar_left"), F.col("w.end").cast("timestamp_ntz").alias("bar_right"), "open", "high", "low", "close", "volume")
 
 
-def without_live_row(bars: DataFrame, interval_minutes: int) -> DataFrame:
-    """Rows of a provider's answer without those of the moment: off the bars' phase, or with seconds.
-
-    Phase is counted from the session's open, which ``bars`` carries as part_open.
-    """
-    off = F.expr("bar_left - part_open")
-    whole = (F.extract(F.lit("SECOND"), off) == 0) & ((F.extract(F.lit("HOUR"), off) * 60 + F.extract(F.lit("MINUTE"), off)) % interval_minutes == 0)
-    return bars.where(whole)
-
-
 def upsert_sink(path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink that keeps one row per (symbol, bar_left) in a parquet table by day.
 
