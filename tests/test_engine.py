@@ -300,3 +300,42 @@ def test_python_data_source(spark):
     spark.dataSource.register(ConstantFeed)
     df = spark.read.format("constant_bars").option("symbols", "A,B").option("start", "2024-01-01").option("end", "2024-01-08").load()
     assert df.count() == 2 * 7 * 24 and df.rdd.getNumPartitions() == 4
+
+
+def test_every_symbol_from_its_own_opens_where_bars_don_t_conflict(spark):
+    """Two calendars whose bars of 30 minutes are one index, and of an hour are not."""
+    from tradespan.plans.builder import BarSource, PriceCatalog
+    from tradespan.plans.trading_calendar import TradingCalendar, joint_conflict
+
+    day = dt.date(2024, 3, 4)
+    at = lambda h, m=0: dt.datetime(2024, 3, 4, h, m)
+    sessions = spark.createDataFrame([("X", day, at(8), None, None, at(12), 0), ("Y", day, at(9, 30), None, None, at(13, 30), 0)], "calendar string, session date, open timestamp_ntz, break_start timestamp_ntz, break_end timestamp_ntz, close timestamp_ntz, ordinal int")
+    symbols = spark.createDataFrame([("A", "X", 0), ("B", "Y", 0)], "symbol string, calendar string, delay_min int")
+    rows = [(s, c, at(h) + dt.timedelta(minutes=10 * i + m), at(h) + dt.timedelta(minutes=10 * i + m + 10), 1.0, 2.0, 0.5, 1.5, 1.0) for s, c, h, m in (("A", "X", 8, 0), ("B", "Y", 9, 30)) for i in range(24)]
+    bars = spark.createDataFrame(rows, "symbol string, calendar string, bar_left timestamp_ntz, bar_right timestamp_ntz, open double, high double, low double, close double, volume double")
+    catalog = PriceCatalog.create([BarSource.measured("10min", bars)], symbols, sessions, at(23), lead_symbol="A")
+    cals = [TradingCalendar.collect(sessions, c) for c in "XY"]
+    assert not joint_conflict(cals, Interval("T", 30), at(0), at(23)) and joint_conflict(cals, Interval("H", 1), at(0), at(23))
+    got = catalog.get("30min", start=day, end=day).collect()
+    assert {(r.symbol, r.bar_left, r.volume) for r in got if r.symbol == "B"} == {("B", at(9, 30) + dt.timedelta(minutes=30 * i), 3.0) for i in range(5)}
+    # in conflict all are anchored on the lead calendar
+    hours = catalog.get("1h", start=day, end=day).collect()
+    assert {r.bar_left.minute for r in hours} == {0}
+    # times of the period in another zone
+    local = catalog.get("30min", start=dt.datetime(2024, 3, 4, 9), end=dt.datetime(2024, 3, 4, 11), tzin="Europe/Paris", include="A").collect()
+    assert {r.bar_left for r in local} == {at(8), at(8, 30), at(9), at(9, 30)}
+    assert "symbol" not in catalog.for_symbols(["A"]).get("30min", start=day, end=day, lose_single_symbol=True).columns
+
+
+def test_openend(spark):
+    from tradespan.plans.builder import BarSource, PriceCatalog
+
+    day = dt.date(2024, 3, 4)
+    at = lambda h, m=0: dt.datetime(2024, 3, 4, h, m)
+    sessions = spark.createDataFrame([("X", day, at(8), None, None, at(9, 30), 0)], "calendar string, session date, open timestamp_ntz, break_start timestamp_ntz, break_end timestamp_ntz, close timestamp_ntz, ordinal int")
+    bars = spark.createDataFrame([("A", "X", at(8), at(9), 1.0, 2.0, 0.5, 1.5, 1.0), ("A", "X", at(9), at(10), 1.0, 2.0, 0.5, 1.5, 1.0)], "symbol string, calendar string, bar_left timestamp_ntz, bar_right timestamp_ntz, open double, high double, low double, close double, volume double")
+    catalog = PriceCatalog.create([BarSource.measured("1h", bars)], spark.createDataFrame([("A", "X", 0)], "symbol string, calendar string, delay_min int"), sessions, at(23))
+    ends = {o: max(r.bar_right for r in catalog.get("1h", start=day, end=day, openend=o).collect()) for o in ("maintain", "shorten")}
+    assert ends == {"maintain": at(10), "shorten": at(9, 30)}
+    with pytest.raises(ValueError):
+        catalog.get("1h", start=day, end=day, openend="other")

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tradespan.functions.assign import least_cost_assignment
-from tradespan.operators.schema_drift import compare_files, consistent_table, schema_changes
+from tradespan.operators.schema_drift import compare_files, consistent, consistent_table, schema_changes
 from tradespan.operators.schema_edit import Field, edit_distance, edit_script
 
 FILES = "file_id bigint, vendor string, symbol string, received_at timestamp_ntz"
@@ -159,3 +159,67 @@ def test_nested_script():
         ("moved", ("meta", "tz"), ("tz",)),
     }
     assert edit_distance(old, old, lambda x, y: None) == 0
+
+
+def brute_distance(a, b, rename):
+    """Least cost over every pairing of children, by trying all of them."""
+
+    def pair(x, y):
+        own = 0.0 if x.name == y.name else rename(x, y)
+        return None if own is None else own + children(x, y)
+
+    def children(x, y):
+        old, new = list(x.children), list(y.children)
+        best = sum(c.size() for c in old + new)
+        for k in range(1, min(len(old), len(new)) + 1):
+            for left in itertools.combinations(old, k):
+                for right in itertools.permutations(new, k):
+                    costs = [pair(p, q) for p, q in zip(left, right)]
+                    if None not in costs:
+                        best = min(best, sum(costs) + sum(c.size() for c in old if c not in left) + sum(c.size() for c in new if c not in right))
+        return best
+
+    return children(a, b)
+
+
+NAMES = st.sampled_from("abcde")
+LEAVES = st.builds(lambda n: Field(n, "double"), NAMES)
+UNIQUE = {"max_size": 3, "unique_by": lambda f: f.name}
+TREES = st.builds(lambda cs: Field("", None, tuple(cs)), st.lists(st.one_of(LEAVES, st.builds(lambda n, cs: Field(n, None, tuple(cs)), NAMES, st.lists(LEAVES, **UNIQUE))), **UNIQUE))
+
+
+@settings(max_examples=150, deadline=None)
+@given(TREES, TREES, st.sets(st.tuples(NAMES, NAMES), max_size=6))
+def test_scripts_are_the_cheapest(old, new, alike):
+    rename = lambda x, y: 1.0 if (x.name, y.name) in alike else None
+    assert abs(edit_distance(old, new, rename) - brute_distance(old, new, rename)) < 1e-4
+
+
+def test_columns_are_followed_by_content_and_what_has_no_place_is_told(spark):
+    before = "".join(f"2023-12-{d},{d},1\n" for d in range(11, 29))
+    first = f"Datum,Kurs,Open\n{before}2024-01-02,10,1\n2024-01-03,11,2\nno date,3,4"
+    second = "Datum,Close,Open\n2024-01-03,11,2\n2024-01-04,12,3"
+    third = "Datum,Wert,Open,Foo\n2024-01-04,12,3,x\n2024-01-05,13,4,y"
+    got = consistent(*tables(spark, [("v", "A", first), ("v", "A", second), ("v", "A", third)]))
+    # Kurs and Wert are the close because their figures are those of a column that was called so
+    assert {(r.date.day, r.close, r.open) for r in got.table.where("date >= '2024-01-01'").collect()} == {(2, 10.0, 1.0), (3, 11.0, 2.0), (4, 12.0, 3.0), (5, 13.0, 4.0)}
+    assert [(r.file_id, r.field) for r in got.unplaced.collect()] == [(3, "foo")]
+    assert got.table.count() == 22
+    assert [(r.file_id, r.line_no, r.cell) for r in got.unread.collect()] == [(1, 22, "no date")]
+
+
+def test_order_of_day_and_month_comes_from_the_feed(spark):
+    early = "Date,Close\n03/01/2024,10\n04/01/2024,11"
+    late = "Date,Close\n04/01/2024,11\n15/01/2024,12"
+    rows = consistent_table(*tables(spark, [("v", "A", early), ("v", "A", late)])).collect()
+    assert {(r.date.isoformat(), r.close) for r in rows} == {("2024-01-03", 10.0), ("2024-01-04", 11.0), ("2024-01-15", 12.0)}
+
+
+def test_origins_reach_over_months(spark):
+    """Names known only in the first file of a feed still say what a column of the last one is."""
+    feed, day = [], dt.date(2024, 1, 1)
+    for n in range(9):
+        rows = "\n".join(f"{day + dt.timedelta(days=20 * n + i)},{100 + 20 * n + i}" for i in range(25))
+        feed.append(("v", "A", f"Date,{'Close' if n == 0 else f'c{n}'}\n{rows}"))
+    rows = consistent_table(*tables(spark, feed)).collect()
+    assert len(rows) == 185 and all(r.close == 100 + (r.date - day).days for r in rows)

@@ -91,7 +91,7 @@ def file_schemas(lines: DataFrame) -> DataFrame:
     """(file_id, names, types, date) of every file with a header.
 
     ``names`` and ``types`` are in the order of the columns; ``date`` is the first column
-    of which all cells are dates, with what its cells with slashes tell of the
+    of whose cells nine in ten or more are dates, with what its cells with slashes tell of the
     order of day and month (``day_first`` and ``month_first``, both false if
     nothing). A name that stands twice in a header is told apart by a suffix
     ``#2``; of several first lines the least counts. One pass over the lines:
@@ -133,7 +133,7 @@ def file_schemas(lines: DataFrame) -> DataFrame:
     column = F.struct(
         "pos",
         type_of(F.col("n"), F.col("bigint"), F.col("bigint") + F.col("double"), F.col("date"), F.col("timestamp")).alias("type"),
-        (F.col("days") == F.col("n")).alias("dated"),
+        (F.col("days") * 10 >= F.col("n") * 9).alias("dated"),
         (F.col("day_first") > 0).alias("day_first"),
         (F.col("month_first") > 0).alias("month_first"),
     )

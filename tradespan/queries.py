@@ -152,7 +152,7 @@ counts AS (
 ),
 typed AS (
   SELECT c.*, CASE WHEN k.n = ints THEN 'bigint' WHEN k.n = doubles THEN 'double' WHEN k.n = dates THEN 'date' WHEN k.n = stamps THEN 'timestamp' WHEN k.n > 0 THEN 'string' END AS type,
-    coalesce(k.n = k.days, false) AS dated, coalesce(df, false) AS df, coalesce(mf, false) AS mf
+    coalesce(k.days * 10 >= k.n * 9, false) AS dated, coalesce(df, false) AS df, coalesce(mf, false) AS mf
   FROM cols c LEFT JOIN counts k USING (file_id, pos)
 ),
 dated AS (SELECT file_id, min(pos) AS pos, arg_min(df, pos) AS df, arg_min(mf, pos) AS mf FROM typed WHERE dated GROUP BY file_id),
