@@ -46,6 +46,19 @@ def session_slots(sessions: DataFrame, step: int = HOUR) -> DataFrame:
     )
 
 
+def session_cells(sessions: DataFrame, step: int = HOUR) -> DataFrame:
+    """(calendar, session, slots): the cells of ``session_slots`` in order as one array per session, made where its row is read."""
+    cut = F.col("break_start").isNotNull() & F.col("break_end").isNotNull()
+    part = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    parts = F.when(cut, F.array(part(F.col("open"), F.col("break_start")), part(F.col("break_end"), F.col("close")))).otherwise(F.array(part(F.col("open"), F.coalesce("break_start", "close"))))
+    parts = F.filter(parts, lambda p: p["a"] < p["b"])
+    count = lambda p: F.ceil(micros_between(p["a"], p["b"]) / step).cast("bigint")
+    cell = lambda p, i: F.struct(plus_micros(p["a"], i * step).alias("slot_start"), F.least(plus_micros(p["a"], (i + 1) * step), p["b"]).alias("slot_end"))
+    slots = F.flatten(F.transform(parts, lambda p: F.transform(F.sequence(F.lit(0).cast("bigint"), count(p) - 1), lambda i: cell(p, i))))
+    own = sessions.where(F.col("open").isNotNull() & F.col("close").isNotNull()).dropDuplicates(["calendar", "session"])
+    return own.select("calendar", "session", slots.alias("slots")).where(F.size("slots") > 0)
+
+
 def readings_in_sessions(readings: DataFrame, symbols: DataFrame, sessions: DataFrame) -> DataFrame:
     """Readings with calendar, session and part; those outside trading hours are left out.
 
@@ -128,7 +141,7 @@ def regular_grid(
         F.max_by("last_close", F.when(F.col("last_close").isNotNull(), F.col("slot_start"))).alias("end_close"),
         F.sum("readings").alias("all_readings"),
     )
-    slots = session_slots(sessions, step).distinct().groupBy("calendar", "session").agg(F.sort_array(F.collect_list(F.struct("slot_start", "slot_end"))).alias("slots"))
+    slots = session_cells(sessions, step)
     slots = slots.withColumn("nth", F.row_number().over(Window.partitionBy("calendar").orderBy("session")))
 
     # each session with readings also stands for those without up to the next; first and last are sessions with a close
